@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import token_store
+from tessera.llm import tiff, token_store, url_filter
 
 QUERIES = {
+    "op7_tiff": tiff.op7_tiff,
     "op8_token_ids": token_store.op8_token_ids,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {}
