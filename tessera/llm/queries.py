@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import tiff, token_store, url_filter
+from tessera.llm import pii, tiff, token_store, url_filter
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op7_tiff": tiff.op7_tiff,
     "op8_token_ids": token_store.op8_token_ids,
     "op10_url_filter": url_filter.op10_url_filter,
