@@ -48,3 +48,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out from every training."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
+def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """All rows if there are at most ``limit``, else those whose key hashes low enough to leave about ``limit`` rows.
+
+    The same rows on every run, and no task or driver ever holds more than the sample.
+    """
+    n = df.count()
+    if n <= limit:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 40)) < int(limit / n * (1 << 40)))

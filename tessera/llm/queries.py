@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import pii, tiff, token_store, url_filter
+from tessera.llm import pii, quality, tiff, token_store, toxicity, url_filter
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_quality": quality.op5_quality,
     "op7_tiff": tiff.op7_tiff,
     "op8_token_ids": token_store.op8_token_ids,
     "op10_url_filter": url_filter.op10_url_filter,
