@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import pii, quality, tiff, token_store, toxicity, url_filter
+from tessera.llm import ngram_join, pii, quality, tiff, token_store, toxicity, url_filter
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op7_tiff": tiff.op7_tiff,
     "op8_token_ids": token_store.op8_token_ids,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
