@@ -51,8 +51,8 @@ SPREAD = 0.35
 BATCH_ROWS = 1_000
 
 
-def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the shingles of each text."""
+def shingle_rows(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
+    """The 64-bit hashes of the shingles of each text, in order and with repeats."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, int)
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
@@ -79,11 +79,13 @@ def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
 
     shingles = joined(n)
     short = {k: joined(k) for k in {int(b - a) for a, b in zip(first, last, strict=True)} if 0 < k < n}
-    sets = []
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        k = b - a
-        sets.append(np.unique(shingles[a : b - n + 1]) if k >= n else short[k][a : a + 1] if k else np.zeros(0, np.uint64))
-    return sets
+    spans = zip(first.tolist(), last.tolist(), strict=True)
+    return [shingles[a : b - n + 1] if b - a >= n else short[b - a][a : a + 1] if b > a else np.zeros(0, np.uint64) for a, b in spans]
+
+
+def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each text."""
+    return [np.unique(row) for row in shingle_rows(texts, n)]
 
 
 def band_of(size: int) -> int:

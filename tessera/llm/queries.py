@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import ngram_join, pii, quality, tiff, token_store, toxicity, url_filter
+from tessera.llm import decontaminate, ngram_join, pii, quality, tiff, token_store, toxicity, url_filter
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality": quality.op5_quality,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_tiff": tiff.op7_tiff,
     "op8_token_ids": token_store.op8_token_ids,
     "op9_ngram_join": ngram_join.op9_ngram_join,
