@@ -45,6 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most rows of ids that are sent to every task instead of shuffling what they select from.
+BROADCAST_IDS = 1_000_000
+
+
+def semi_by_id(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is in ``ids``: by broadcast where their number, counted first, allows it, else by a shuffle."""
+    ids = ids.select(on).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out from every training."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5

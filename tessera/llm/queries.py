@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, ngram_join, pii, quality, tiff, token_store, toxicity, url_filter
+from tessera.llm import decontaminate, line_dedup, mixing, ngram_join, pii, quality, tiff, token_store, toxicity, url_filter
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_pii": pii.op2_pii,
+    "op3_mixing": mixing.op3_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality": quality.op5_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
@@ -15,4 +17,4 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE}
