@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Most labelled urls that the trees are fit on: those with the smallest hashes of their ids.
+#: About how many labelled urls, at most, the trees are fit on: those whose ids have the smallest hashes.
 SAMPLE_ROWS = 20_000
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -157,10 +157,10 @@ class UrlModel:
 
 
 def train(labelled: DataFrame, id_col: str, url_col: str, label_col: str, limit: int = SAMPLE_ROWS) -> UrlModel:
-    """Fit from at most ``limit`` rows whose label (1: block) is not null."""
+    """Fit from about ``limit`` rows at most whose label (1: block) is not null."""
     rows = with_parts(labelled.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(label_col).cast("int").alias("label")).filter("label is not null"))
-    picked = rows.orderBy(F.xxhash64("id"), "id", "url").limit(limit).select("url", "host", "path", "label").collect()
-    return UrlModel().fit([tuple(r) for r in picked])
+    picked = common.bounded_sample(rows, "id", limit).select("url", "host", "path", "label").collect()
+    return UrlModel().fit(sorted((tuple(r) for r in picked), key=repr))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, model: UrlModel | None = None, limit: int = SAMPLE_ROWS) -> DataFrame:
