@@ -49,11 +49,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def semi_by_id(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """Rows of ``df`` whose ``on`` is in ``ids``: by broadcast where their number, counted first, allows it, else by a shuffle."""
+def semi_by_id(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``on`` is in ``ids`` (or is not: left_anti): by broadcast where their number, counted first,
+    allows it, else by a shuffle."""
     ids = ids.select(on).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
+    return df.join(F.broadcast(ids) if few else ids, on, how)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A beginning for helper columns that no column of ``df`` has, whatever its case."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = f"_{name}"
+    return name
 
 
 def fold(doc_id: Column) -> Column:

@@ -158,8 +158,9 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str =
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage, with all their columns."""
-    found = find(docs, benchmark, docs.columns, text_col, threshold=threshold, out="benchmark passages")
-    return found.filter(F.size("benchmark passages") == 0).select(*docs.columns)
+    out = common.free_name(docs, "benchmark passages")
+    found = find(docs, benchmark, docs.columns, text_col, threshold=threshold, out=out)
+    return found.filter(F.size(out) == 0).select(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

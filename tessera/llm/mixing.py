@@ -81,16 +81,18 @@ class Plan:
 
     def select(self, docs: DataFrame, id_col: str, tokens: Column, out: tuple[str, str] = ("epoch", "take_tokens")) -> DataFrame:
         """The rows of ``docs`` that are taken, once an epoch, with the epoch and how many of their tokens."""
-        # the figures travel under names that no table has
-        leaves = F.broadcast(self.leaves.select(*(F.col(c).alias(f"mix level {c}") for c in self.levels), *(F.col(c).alias(f"mix {c}") for c in ("full", "cut", "cut_tokens"))))
-        same = [F.coalesce(docs[c].cast("string"), F.lit("")) == leaves[f"mix level {c}"] for c in self.levels]
-        joined = docs.join(leaves, same).withColumn("mix n", tokens)
-        place = self.place(id_col, F.col("mix full"))
-        part = F.when(place < F.col("mix cut"), F.col("mix n")).when(place == F.col("mix cut"), F.least("mix n", "mix cut_tokens"))
-        whole = F.when(F.col("mix full") > 0, F.transform(F.sequence(F.lit(0), F.col("mix full") - 1), lambda e: F.struct(e.cast("int").alias("e"), F.col("mix n").alias("n")))).otherwise(F.array().cast("array<struct<e: int, n: bigint>>"))
-        last = F.when(part.isNotNull(), F.array(F.struct(F.col("mix full").cast("int").alias("e"), part.cast("bigint").alias("n")))).otherwise(F.array().cast("array<struct<e: int, n: bigint>>"))
-        rows = joined.select(*(docs[c] for c in docs.columns), F.explode(F.concat(whole, last)).alias("mix take"))
-        return rows.select(*(rows[c] for c in docs.columns), F.col("mix take.e").alias(out[0]), F.col("mix take.n").alias(out[1]))
+        p = common.free_name(docs, "mix")  # the figures travel under names that the table does not have
+        leaves = F.broadcast(self.leaves.select(*(F.col(c).alias(f"{p} level {c}") for c in self.levels), *(F.col(c).alias(f"{p} {c}") for c in ("full", "cut", "cut_tokens"))))
+        same = [F.coalesce(docs[c].cast("string"), F.lit("")) == leaves[f"{p} level {c}"] for c in self.levels]
+        full, n = F.col(f"{p} full"), F.col(f"{p} n")
+        joined = docs.join(leaves, same).withColumn(f"{p} n", tokens)
+        place = self.place(id_col, full)
+        part = F.when(place < F.col(f"{p} cut"), n).when(place == F.col(f"{p} cut"), F.least(n, F.col(f"{p} cut_tokens")))
+        none = F.array().cast("array<struct<e: int, n: bigint>>")
+        whole = F.when(full > 0, F.transform(F.sequence(F.lit(0), full - 1), lambda e: F.struct(e.cast("int").alias("e"), n.alias("n")))).otherwise(none)
+        last = F.when(part.isNotNull(), F.array(F.struct(full.cast("int").alias("e"), part.cast("bigint").alias("n")))).otherwise(none)
+        rows = joined.select(*(docs[c] for c in docs.columns), F.explode(F.concat(whole, last)).alias(f"{p} take"))
+        return rows.select(*(rows[c] for c in docs.columns), F.col(f"`{p} take`.e").alias(out[0]), F.col(f"`{p} take`.n").alias(out[1]))
 
 
 def token_count(text: str) -> Column:
@@ -129,9 +131,10 @@ def plan(docs: DataFrame, levels: list[str], weights: dict[tuple[str, ...], int]
 def mix_documents(docs: DataFrame, chosen: Plan, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """The taken rows with the columns of ``docs``; the text of a cut document ends with its last taken token."""
     tokens = tokens if tokens is not None else token_count(text_col)
-    taken = chosen.select(docs, id_col, tokens, ("mix epoch", "mix tokens"))
+    n = f"{common.free_name(docs, 'taken')} tokens"
+    taken = chosen.select(docs, id_col, tokens, (f"{n} epoch", n))
     words = F.regexp_extract_all(F.col(text_col), F.lit(rf"([\x09-\x0D ]*{TOKEN})"), 1)
-    text = F.when(F.col("mix tokens") < token_count(text_col), F.array_join(F.slice(words, 1, F.col("mix tokens").cast("int")), "")).otherwise(F.col(text_col))
+    text = F.when(F.col(n) < token_count(text_col), F.array_join(F.slice(words, 1, F.col(n).cast("int")), "")).otherwise(F.col(text_col))
     return taken.withColumn(text_col, text).select(*docs.columns)
 
 

@@ -152,8 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     return SubwordModel().fit([r.text or "" for r in rows], [r.label for r in rows])
 
 
-def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
-    """Rows (doc_id, score): the probability of label 1."""
+def score(docs: DataFrame, model: SubwordModel, keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """The columns ``keep`` (doc_id unless given) of every row, and in ``out`` the probability of label 1."""
+    keep = keep or ["doc_id"]
     common.small_batches(docs.sparkSession)
     values, bias = model.compact()
     held = docs.sparkSession.sparkContext.broadcast(values)  # one number a bucket, whatever the input
@@ -162,10 +163,17 @@ def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = WordScorer.shared(key, lambda: WordScorer(held.value, grams))
         for batch in batches:
-            z = scorer.means([t or "" for t in batch.column(1).to_pylist()]) + bias
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))), pa.float64())], ["doc_id", "score"])
+            z = scorer.means([t or "" for t in batch.column(len(keep)).to_pylist()]) + bias
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))), pa.float64())], [*keep, out])
 
-    return docs.select("doc_id", "text").mapInArrow(rate, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, F.col("text").alias("text to score")).mapInArrow(rate, f"{schema}, `{out}` double")
+
+
+def accepted(docs: DataFrame, model: SubwordModel, least: float) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, with all their columns."""
+    out = common.free_name(docs, "quality score")
+    return score(docs, model, docs.columns, out).filter(F.col(out) >= least).select(*docs.columns)
 
 
 THRESHOLD = 0.3
