@@ -9,7 +9,8 @@ on both sides. Allocation says what a set puts into the index for each of its se
 
 * -1, nothing: for empty segments, and for as many as the bound allows. A pair has at least |X| - |x| // 4 of its |X| segments
   in common, so under one order of all segment subsets the first |x| // 4 + 1 of each side meet (the prefix principle). The
-  order is by cost: subsets of more shingles, which are rarer, come first;
+  order is by cost: subsets of more shingles, which are rarer, come first, and before all those with more shingles that a
+  sample of about ``SAMPLE_DOCS`` documents does not show to be shared. The sample orders the index and decides nothing;
 * 0, the subset as it is: for those first |x| // 4 + 1;
 * 1, the subset and all its one-deletion neighbours: where a set has fewer filled segments than that. It then indexes every
   subset, with neighbours for those of two and more. A segment with neighbours tolerates one difference, so the filled
@@ -18,11 +19,17 @@ on both sides. Allocation says what a set puts into the index for each of its se
 
 Sets within 1.25 of the next band are indexed there too. Every candidate is verified on the sets themselves.
 
-Buckets of the index are never expanded into all pairs. Each member is first compared with the smallest member (the hub);
+A bucket of more than ``HOT`` sets mostly says that they hold the same passage. Allocation skips it, and the sets in it are indexed
+again in the finest partition, one segment for each shingle: there only the elements that x itself has and the other lacks break
+x's segments, so the first fifth of each set, shared shingles last, meet. Linked sets r, s share at least 80 * (|r| + |s|) / 180
+shingles, and none before the first that they meet in, so only pairs count in which both have as many from there on. Two sets that
+are both in large buckets meet there; any other pair has met in a bucket that is not large.
+
+Buckets of the index are never expanded into all pairs. Each member is first compared with one of them (the hub);
 components of the links found settle most buckets. Only members that stay apart from their hub are then compared with the
 other members in other components. As only components are asked for, nothing is lost: a pair left out lies in one component.
 
-Copies are merged within a task before the index is built, so that a group of copies has at most one set a task.
+Copies are merged within a task before the index is built, and the few that are left, one a task at most, before it is used.
 
 Defined cases: null and empty texts, and texts of white space, have the empty set and are linked with nothing; texts of one to
 four words are one shingle; rows of one id stand for one node that has the links of all of them; a null id keeps its
@@ -36,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +57,12 @@ BAND = 3
 #: Segments per shingle of a band's largest sets.
 SPREAD = 0.35
 BATCH_ROWS = 1_000
+#: Sets in buckets of more members are indexed by single shingles as well, and those buckets are not used.
+HOT = 8
+#: In how many ways the hub of a bucket is chosen.
+HUBS = 16
+#: The sample from which the index's order is fit, in how many of its distinct sets a shared shingle occurs, and most of these.
+SAMPLE_DOCS, SHARED_BY, MOST_SHARED = 8_000, 3, 200_000
 
 
 def shingle_rows(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
@@ -99,7 +113,7 @@ def segments(band: int, scheme: int) -> int:
     return max(8, int(SPREAD * BAND ** (band + 1)) + 1) << scheme
 
 
-def keys_in(items: np.ndarray, band: int, scheme: int) -> tuple[np.ndarray, bool]:
+def keys_in(items: np.ndarray, rare: np.ndarray, band: int, scheme: int) -> tuple[np.ndarray, bool]:
     """What a set indexes in one band and scheme, and whether that suffices for its own pairs."""
     seed = mix(np.array([band * 64 + scheme], np.uint64))[0]
     spread = mix(items ^ seed)
@@ -113,90 +127,148 @@ def keys_in(items: np.ndarray, band: int, scheme: int) -> tuple[np.ndarray, bool
     exact = mix(sums ^ label)
     need = len(items) // 4 + 1
     if len(exact) >= need:
-        return exact[np.lexsort((exact, -sizes))[:need]], True
+        unshared = np.add.reduceat(rare[order].astype(np.int64), starts)
+        return exact[np.lexsort((exact, -sizes, -unshared))[:need]], True
     several = np.repeat(sizes >= 2, sizes)
     fewer = mix((np.repeat(sums, sizes) - spread)[several] ^ np.repeat(label, sizes)[several])
     return np.unique(np.concatenate([exact, fewer])), len(exact) + int((sizes >= 2).sum()) >= need
 
 
-def index_keys(items: np.ndarray) -> np.ndarray:
+def index_keys(items: np.ndarray, common_items: np.ndarray = np.zeros(0, np.uint64)) -> np.ndarray:  # noqa: B008
+    """``common_items``: sorted shingles that many documents share."""
     if not len(items):
         return np.zeros(0, np.uint64)
+    rare = np.ones(len(items), bool)
+    if len(common_items):
+        rare = common_items[np.minimum(np.searchsorted(common_items, items), len(common_items) - 1)] != items
     band, found = band_of(len(items)), []
     bands = [band, band + 1] if 5 * len(items) >= 4 * BAND ** (band + 1) else [band]
     for b in bands:
         scheme, enough = 0, False
         while not enough:
-            keys, enough = keys_in(items, b, scheme)
+            keys, enough = keys_in(items, rare, b, scheme)
             found.append(keys)
             scheme += 1
     return np.concatenate(found)
 
 
-def indexed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, n_shingles, first_id, keys): keys are empty where a document repeats the set of ``first_id`` in its task."""
+def shared_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Sorted shingles that several distinct texts of the sample hold, the most frequent ones if there are too many."""
+    picked = common.bounded_sample(docs, id_col, SAMPLE_DOCS)
+    texts = picked.select(F.col(text_col).alias("text")).distinct().withColumn("id", F.lit(0).cast("bigint"))
+    counts = texts.mapInArrow(_items, "id bigint, n bigint, items array<bigint>").select(F.explode("items").alias("item")).groupBy("item").count()
+    found = counts.filter(F.col("count") >= SHARED_BY).orderBy(F.desc("count"), "item").limit(MOST_SHARED).select("item").collect()
+    return np.sort(np.array([r.item for r in found], np.int64).view(np.uint64))
+
+
+def fine_keys(items: np.ndarray, common_items: np.ndarray) -> np.ndarray:
+    """The shingles that a set indexes in the finest partition, in the order that all sets follow."""
+    n = len(items)
+    shared = np.isin(items, common_items, assume_unique=True)
+    return items[np.lexsort((items, shared))[: n - -(-4 * n // 5) + 1]]
+
+
+def finely_indexed(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, shared: Broadcast) -> DataFrame:
+    """Rows (key, node, left, size) of the documents whose ids are in ``ids``: left counts the set's shingles from the key on."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, columns = [np.zeros(0, np.uint64)], [np.zeros((3, 0), np.int64)]
+            for node, items in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
+                if n := len(items):
+                    keys.append(fine_keys(items, shared.value))
+                    k = len(keys[-1])
+                    columns.append(np.stack([np.full(k, node), n - np.arange(k), np.full(k, n)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, np.concatenate(columns, axis=1))], ["key", "node", "left", "size"])
+
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return common.semi_by_id(source, ids, "id").mapInArrow(build, "key bigint, node bigint, left bigint, size bigint")
+
+
+def indexed(docs: DataFrame, id_col: str, text_col: str, shared: Broadcast) -> DataFrame:
+    """Rows (id, n_shingles, digest, first_id, keys): keys are empty where a document repeats the set of ``first_id`` in its task."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for batch in batches:
             ids, sets = batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist())
+            digests = [hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) and i is not None else None for i, items in zip(ids, sets, strict=True)]
             firsts, keys = [], []
-            for i, items in zip(ids, sets, strict=True):
-                firsts.append(seen.setdefault(hashlib.blake2b(items.tobytes(), digest_size=16).digest(), i) if len(items) and i is not None else i)
-                keys.append(index_keys(items).view(np.int64) if firsts[-1] == i and i is not None else np.zeros(0, np.int64))
+            for i, items, digest in zip(ids, sets, digests, strict=True):
+                firsts.append(seen.setdefault(digest, i) if digest else i)
+                keys.append(index_keys(items, shared.value).view(np.int64) if firsts[-1] == i and i is not None else np.zeros(0, np.int64))
             lengths = np.array([len(k) for k in keys])
             flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.int64()), flat], ["id", "n_shingles", "first_id", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.int64()), flat], ["id", "n_shingles", "digest", "first_id", "keys"])
 
-    return docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(build, "id bigint, n_shingles bigint, first_id bigint, keys array<bigint>")
+    return docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(build, "id bigint, n_shingles bigint, digest binary, first_id bigint, keys array<bigint>")
 
 
-def with_sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
-    """Rows (id, items) of the documents whose ids are in ``ids``."""
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) or (text, id) batches as (id, n, items)."""
+    for batch in batches:
+        sets = [s.view(np.int64) for s in shingle_sets(batch.column("text").to_pylist())]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]), pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), flat], ["id", "n", "items"])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).to_pylist())]
-            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["id", "items"])
 
-    chosen = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return chosen.mapInArrow(build, "id bigint, items array<bigint>")
+def with_sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
+    """Rows (id, n, items) of the documents whose ids are in ``ids``."""
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return common.semi_by_id(source, ids, "id").mapInArrow(_items, "id bigint, n bigint, items array<bigint>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    n, m, common_items = F.size("items_a"), F.size("items_b"), F.size(F.array_intersect("items_a", "items_b"))
-    # sizes first: they are cheap and exact
-    near = both.filter((DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & (F.least(n, m) > 0))
-    return near.filter(DEN * common_items >= NUM * (n + m - common_items)).select("a", "b").distinct()
+    side = lambda c, *more: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), *(F.col(m).alias(f"{m}_{c}") for m in more))
+    # sizes first, which are small; then the sets of the pairs that are left
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and least(n_a, n_b) > 0")
+    both = near.select("a", "b").distinct().join(side("a", "items"), "a").join(side("b", "items"), "b")
+    common_items = F.size(F.array_intersect("items_a", "items_b"))
+    return both.filter(DEN * common_items >= NUM * (F.col("n_a") + F.col("n_b") - common_items)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_shingles, component_id), one for each row of ``docs``."""
     spark = docs.sparkSession
     common.small_batches(spark, BATCH_ROWS, 3 << 20)  # numpy holds some 40 bytes for each of text
-    index = common.materialise(indexed(docs, id_col, text_col), "ngram-index")
-    entries = index.select(F.explode("keys").alias("key"), F.col("id").alias("node")).repartition("key")  # one shuffle serves both uses
-    hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("key", "hub")
-    buckets = common.materialise(entries.join(hubs.hint("shuffle_hash"), "key"), "ngram-buckets")
-
-    pairs = common.materialise(buckets.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "ngram-pairs")
-    members = buckets.select(F.col("node").alias("id")).distinct()
-    sets = common.materialise(with_sets(docs, id_col, text_col, members), "ngram-sets")
+    shared = spark.sparkContext.broadcast(shared_shingles(docs, id_col, text_col))  # MOST_SHARED numbers at most
+    index = common.materialise(indexed(docs, id_col, text_col, shared), "ngram-index")
+    # copies in different tasks: one of them stands for all
+    heads = index.filter("first_id = id and digest is not null").select("id", "digest")
+    chief = heads.groupBy("digest").agg(F.min("id").alias("chief"), F.max("id").alias("last")).filter("chief < last").select("digest", "chief")
+    doubles = common.materialise(heads.join(chief, "digest").filter("id <> chief").select("chief", "id").distinct(), "ngram-doubles")
+    entries = common.semi_by_id(index.select("id", "keys"), doubles, "id", "left_anti").select(F.explode("keys").alias("key"), F.col("id").alias("node")).repartition("key")  # one shuffle serves both uses
+    # which member is the hub changes with the bucket, so that a set of a large group meets several
+    turn = F.struct(F.xxhash64("node", F.pmod("key", F.lit(HUBS))), "node")
+    hubs = entries.groupBy("key").agg(F.min(turn).alias("hub"), F.min("node").alias("low"), F.max("node").alias("top"), F.count("*").alias("n")).filter("low < top").select("key", "hub.node", "n").withColumnRenamed("node", "hub")
+    found = common.materialise(entries.join(hubs.hint("shuffle_hash"), "key"), "ngram-buckets")
+    # sets in large buckets are indexed once more, by single shingles; pairs of them need not meet in large buckets
+    hot = common.materialise(found.filter(F.col("n") > HOT).select(F.col("node").alias("id")).distinct(), "ngram-hot")
+    fine = common.materialise(finely_indexed(docs, id_col, text_col, hot, shared), "ngram-fine")
+    leads = fine.groupBy("key").agg(F.min(F.when(F.expr("9 * left >= 8 * size"), turn)).alias("hub"), F.min("node").alias("low"), F.max("node").alias("top")).filter("hub is not null and low < top").select("key", F.col("hub.node").alias("hub"))
+    few = found.filter(F.col("n") <= HOT).select("key", "node", "hub")
+    buckets = common.materialise(few.unionByName(fine.join(leads, "key"), allowMissingColumns=True), "ngram-buckets")
+
+    pairs = common.materialise(buckets.filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "ngram-pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    sets = common.materialise(with_sets(docs, id_col, text_col, met), "ngram-sets")
     copies = index.filter("first_id <> id").select(F.col("first_id").alias("a"), F.col("id").alias("b"))
-    links = common.materialise(similar(pairs, sets), "ngram-links").union(copies)
+    links = common.materialise(similar(pairs, sets), "ngram-links").union(copies).union(doubles)
     groups = common.materialise(connected(links, "a", "b"), "ngram-groups")
 
     # members that stay apart from a hub meet those members of the same buckets that are in other components
     label = lambda df, c: df.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
-    apart = label(label(pairs, "a"), "b").filter("of_a <> of_b").select(F.col("a").alias("hub"), F.col("b").alias("node"))
-    alone = buckets.join(apart, ["hub", "node"], "left_semi").select("key", F.col("node").alias("a"))
-    rest = alone.join(buckets.filter("node > hub").select("key", F.col("node").alias("b")), "key").filter("a <> b")
+    apart = label(label(pairs, "a"), "b").filter("of_a <> of_b").select("a", "b")
+    apart = apart.select(F.col("a").alias("hub"), F.col("b").alias("node")).union(apart.select("b", "a"))
+    members = buckets.filter("node <> hub")
+    side = lambda df, c: df.select("key", F.col("node").alias(c), F.col("left").alias(f"left_{c}"), F.col("size").alias(f"size_{c}"))
+    reaches = F.expr(f"a <> b and (left_a is null or {NUM + DEN} * least(left_a, left_b) >= {NUM} * (size_a + size_b))")
+    rest = side(members.join(apart, ["hub", "node"], "left_semi"), "a").join(side(members, "b"), "key").filter(reaches)
     rest = label(label(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "a"), "b").filter("of_a <> of_b").select("a", "b")
-    more = common.materialise(similar(rest.join(pairs, ["a", "b"], "left_anti"), sets), "ngram-links")
+    rest = common.materialise(rest.join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
+    more = common.materialise(similar(rest, sets), "ngram-links")
     if more.limit(1).count():
         groups = common.materialise(connected(links.union(more), "a", "b"), "ngram-groups")
     found = index.select("id", "n_shingles").join(groups.withColumnRenamed("node", "id"), "id", "left")
@@ -207,7 +279,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs`` whose id is the smallest of its group; of repeated ids all rows stay, null ids too."""
     groups = near_duplicates(docs, id_col, text_col)
     others = groups.filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(others, id_col, "left_anti").select(*docs.columns)
+    return common.semi_by_id(docs, others, id_col, "left_anti").select(*docs.columns)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
