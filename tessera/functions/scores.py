@@ -97,7 +97,7 @@ def fact_confidence(text: Column, source_type: Column, page: Column) -> Column:
 
 def personalization(average: Column, n: Column) -> Column:
     """70 times the mean confidence and 8 a fact up to 30, rounded half to even; 0 without facts."""
-    return F.coalesce(F.least(F.lit(100), F.bround(average * 70 + F.least(8 * n, F.lit(30)), 0)).cast("int"), F.lit(0))
+    return F.when(n > 0, F.least(F.lit(100), F.bround(average * 70 + F.least(8 * n, F.lit(30)), 0)).cast("int")).otherwise(0)
 
 
 def enrichment_warnings(n_pages: Column, n_facts: Column, score: Column) -> Column:

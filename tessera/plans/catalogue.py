@@ -490,3 +490,92 @@ def column_union_export(spark, sf_dir):
 def lang_profile(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.size(text.words(F.col("text"))) > 100).alias("n_long"))
+
+
+# --- pages, lists and whole flows ----------------------------------------------------------------------------------
+
+DOCUMENT = "<html><head><title>Acme  Robotics</title><meta name='description' content='Acme builds robot arms for mid-size factories in Europe.'><script type='application/ld+json'>{\"name\": \"Acme\"}</script><style>x</style></head><body><nav><a href='/about'>About</a></nav><main><h1>Robot arms</h1><p>Our arms help teams pack boxes twice as fast as before.</p><p>Short.</p><a href='https://beta.io/x'>Beta Systems</a><a href='/companies/gamma'>Gamma</a></main></body></html>"
+PAGES = [("https://acme.com", DOCUMENT), ("https://acme.com/about", "<main><p>Acme provides cloud software and data for developers.</p></main>"), ("https://empty.com", ""), ("https://failed.com", None)]
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&', 'g'), '\s+', ' ', 'g')) AS title, 'ok' AS status FROM pages""")
+def page_titles(spark, sf_dir):
+    from tessera.sources import html
+
+    return html.parse_pages(table(spark, sf_dir, "pages"), ["page_id"]).select("page_id", "title", "status")
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '<a href="')) AS n_links FROM pages""")
+def page_links(spark, sf_dir):
+    from tessera.sources import html
+
+    pages = table(spark, sf_dir, "pages")
+    counted = html.links(pages, "page_id").groupBy("key").agg(F.count("*").alias("n")).select(F.col("key").alias("page_id"), "n")
+    return pages.select("page_id").join(counted, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
+@query("SELECT 'https://acme.com' AS page, 'Beta Systems' AS company, 'beta.io' AS domain")
+def link_candidates(spark, sf_dir):
+    from tessera.sources import html
+
+    df = spark.createDataFrame(PAGES, "url string, html string").withColumn("page", F.col("url"))
+    return html.candidates(html.links(df, "page")).select(F.col("key").alias("page"), "company", "domain")
+
+
+WIKI = "== Banks ==\n* [[Alpha Bank|Alpha]] – big\n* ''Beta''<ref>x</ref> (old)\n{| class=x\n! Name\n|-\n| [[Gamma]] || 1990\n|-\n| style=\"a\" | Delta\n|}\n[[Epsilon]]\n[[File:x.png]]\n== See also ==\n* Zeta\n"
+
+
+@query("SELECT unnest(range(5))::INTEGER AS pos, unnest(['Alpha', 'Beta', 'Gamma', 'Delta', 'Epsilon']) AS name")
+def wiki_names(spark, sf_dir):
+    from tessera.sources import html
+
+    return html.names_of_lists(spark.createDataFrame([("list of banks", WIKI)], "key string, text string")).select("pos", "name")
+
+
+@query("""SELECT * FROM (VALUES ('https://acme.com', 'ok', 'Acme builds robot arms for mid-size factories in Europe.', 3), ('https://empty.com', 'fetch_failed', '', 0), ('https://failed.com', 'fetch_failed', '', 0), ('', 'missing', '', 0)) t(site, website_status, company_summary, n_facts)""")
+def enrich_sites(spark, sf_dir):
+    from tessera.plans import engine
+
+    sites = spark.createDataFrame([("https://acme.com",), ("https://empty.com",), ("https://failed.com",), ("",)], "site string")
+    done = engine.enrich(sites, spark.createDataFrame(PAGES, "url string, html string"))
+    n = F.when(F.col("personalization_facts") == "", 0).otherwise(F.size(F.split("personalization_facts", r" \| ")))
+    return done.select("site", "website_status", "company_summary", n.cast("int").alias("n_facts"))
+
+
+@query("""SELECT * FROM (VALUES ('acme.com', 'review', 'region_unconfirmed', 1), ('failed.com', 'review', 'icp_unconfirmed', 2), ('army.mil', 'rejected', 'government_site', 3)) t(domain, match_confidence, verification, place)""")
+def discover_companies(spark, sf_dir):
+    from tessera.plans import engine
+
+    rows = [("Acme Robotics", "https://acme.com", "acme.com"), ("Failed", "https://failed.com", "failed.com"), ("Army", "https://army.mil", "army.mil")]
+    done = engine.discover(spark.createDataFrame(rows, "company string, website string, domain string"), spark.createDataFrame(PAGES, "url string, html string"), "robot arms for factories", 10)
+    return done.select("domain", "match_confidence", "verification", "place")
+
+
+SIZES = [("We are 1,200 employees strong",), ("a team of 45 people",), ("10.5 staff",), ("family-owned bakery",), ("no hint",), (None,), ("7+ employees",)]
+
+
+@query("SELECT * FROM (VALUES ('We are 1,200 employees strong', 'enterprise'), ('a team of 45 people', 'sme'), ('10.5 staff', 'sme'), ('family-owned bakery', 'sme'), ('no hint', ''), (NULL, ''), ('7+ employees', 'micro')) t(said, tier)")
+def size_tiers(spark, sf_dir):
+    return spark.createDataFrame(SIZES, "said string").select("said", scores.size_tier(F.col("said")).alias("tier"))
+
+
+TEXTS = [("hola",), ("adios",), ("raro",)]
+TRANSLATIONS = [("hola", "es", "en", "hello"), ("adios", "es", "en", "bye"), ("adios", "es", "fr", "au revoir")]
+
+
+@query("SELECT * FROM (VALUES ('hola', 'hello'), ('adios', 'bye'), ('raro', 'raro')) t(text, result)")
+def translate_terms(spark, sf_dir):
+    return lookups.translate(spark.createDataFrame(TEXTS, "text string"), spark.createDataFrame(TRANSLATIONS, "text string, src string, tgt string, result string"), "en", "es")
+
+
+@query("SELECT * FROM (VALUES ('law', 'attorney', 0), ('law', 'legal aid', 1)) t(token, term, tier)")
+def expand_terms(spark, sf_dir):
+    tokens = spark.createDataFrame([("law",), ("firm",)], "token string")
+    tiers = [spark.createDataFrame(rows, "token string, term string") for rows in ([("law", "Attorney"), ("tax", "levy")], [("law", "attorney"), ("law", "legal aid"), ("law", "firm"), ("law", "x1")])]
+    return lookups.expand(tokens, tiers)
+
+
+@query(f"SELECT c_custkey, place::INTEGER AS place, replace(replace(template, '{{domain}}', 'c' || c_custkey || '.com'), '{{company}}', c_name) AS query FROM customer, (SELECT unnest(range({len(fixed.SEARCH_TEMPLATES)})) AS place, unnest({strings(fixed.SEARCH_TEMPLATES)}) AS template) t")
+def company_queries(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("company"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".com")).alias("domain"))
+    return search.company_queries(c).join(c.select("c_custkey", "domain"), "domain").select("c_custkey", "place", "query")
