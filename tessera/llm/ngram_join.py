@@ -263,10 +263,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = label(label(pairs, "a"), "b").filter("of_a <> of_b").select("a", "b")
     apart = apart.select(F.col("a").alias("hub"), F.col("b").alias("node")).union(apart.select("b", "a"))
     members = buckets.filter("node <> hub")
-    side = lambda df, c: df.select("key", F.col("node").alias(c), F.col("left").alias(f"left_{c}"), F.col("size").alias(f"size_{c}"))
-    reaches = F.expr(f"a <> b and (left_a is null or {NUM + DEN} * least(left_a, left_b) >= {NUM} * (size_a + size_b))")
-    rest = side(members.join(apart, ["hub", "node"], "left_semi"), "a").join(side(members, "b"), "key").filter(reaches)
-    rest = label(label(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "a"), "b").filter("of_a <> of_b").select("a", "b")
+    side = lambda df, c: label(df.select("key", F.col("node").alias(c), F.col("left").alias(f"left_{c}"), F.col("size").alias(f"size_{c}")), c)
+    alone = common.materialise(side(members.join(apart, ["hub", "node"], "left_semi"), "a"), "ngram-alone")
+    around = side(members.join(alone.select("key").distinct(), "key", "left_semi"), "b")
+    reaches = F.expr(f"of_a <> of_b and (left_a is null or {NUM + DEN} * least(left_a, left_b) >= {NUM} * (size_a + size_b))")
+    rest = alone.join(around, "key").filter(reaches).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = common.materialise(rest.join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
     more = common.materialise(similar(rest, sets), "ngram-links")
     if more.limit(1).count():
