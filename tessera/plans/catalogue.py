@@ -579,3 +579,54 @@ def expand_terms(spark, sf_dir):
 def company_queries(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("company"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".com")).alias("domain"))
     return search.company_queries(c).join(c.select("c_custkey", "domain"), "domain").select("c_custkey", "place", "query")
+
+
+TITLES = [(1, "Jane Doe - Head of Growth - Acme Inc | LinkedIn"), (2, "Acme | LinkedIn"), (3, "Bo Li – CEO – Beta | LinkedIn"), (4, "Ann Marie Smith - Sales – Gamma Labs | LinkedIn")]
+
+
+@query("SELECT * FROM (VALUES (1, 'Jane Doe', 'Head of Growth', 'Acme Inc'), (2, NULL, NULL, NULL), (3, NULL, NULL, NULL), (4, 'Ann Marie Smith', 'Sales', 'Gamma Labs')) t(title_id, name, role, company)")
+def profile_titles(spark, sf_dir):
+    from tessera.operators import people
+
+    return spark.createDataFrame(TITLES, "title_id int, title string").select("title_id", people.profile_title(F.col("title")).alias("p")).select("title_id", "p.name", "p.role", "p.company")
+
+
+SAID = [(1, "Our founder: Jane Miller leads"), (2, "Peter Jones, CEO of it"), (3, "nobody here"), (4, "CEO The Team")]
+
+
+@query("SELECT * FROM (VALUES (1, 'Jane Miller', 'Founder'), (2, 'Peter Jones', 'Ceo'), (3, NULL, NULL), (4, NULL, NULL)) t(said_id, name, role)")
+def person_hints(spark, sf_dir):
+    from tessera.operators import people
+
+    return spark.createDataFrame(SAID, "said_id int, said string").select("said_id", people.person_in(F.col("said")).alias("p")).select("said_id", "p.name", "p.role")
+
+
+FOUND = [("Acme", 0, 1, "Nope | LinkedIn", "u0"), ("Acme", 1, 1, "Jane Doe - Chef - Acme | LinkedIn", "u1"), ("Acme", 1, 2, "Sam Poe - Sales - Acme Ltd | LinkedIn", "u2"), ("Acme", 2, 1, "Late Comer - Sales - Acme | LinkedIn", "u3"), ("Doe", 0, 1, "Jane Doe - Sales - Doe | LinkedIn", "u4")]
+
+
+@query("SELECT * FROM (VALUES ('Acme', 'Sam Poe', 'Sales', 'u2', 70), ('Acme', 'Jane Doe', 'Chef', 'u1', 50)) t(company, name, role, url, confidence)")
+def profile_contacts(spark, sf_dir):
+    from tessera.operators import people
+
+    return people.profile_contacts(spark.createDataFrame(FOUND, "company string, query_place int, rank int, title string, url string"))
+
+
+SITE_PAGES = [("https://a.com", 0, "https://a.com", "write to info@a.com or jane.doe@a.com"), ("https://b.com", 0, "https://b.com", "founder: Jane Miller"), ("https://c.com", 0, "https://c.com", "x"), ("https://c.com", 1, "https://c.com/contact", "x"), ("https://d.com", 0, "https://d.com", "me@gmail.com")]
+
+
+@query("SELECT * FROM (VALUES ('https://a.com', 'public_email', 'jane.doe@a.com', 'Jane Doe', 95, 'https://a.com'), ('https://b.com', 'public_person', '', 'Jane Miller', 60, 'https://b.com'), ('https://c.com', 'contact_page', '', '', 20, 'https://c.com/contact'), ('https://d.com', 'not_found', '', '', 0, '')) t(site, contact_type, email, name, confidence, source_url)")
+def site_contacts(spark, sf_dir):
+    from tessera.operators import people
+
+    return people.site_contact(spark.createDataFrame(SITE_PAGES, "site string, page int, url string, text string"))
+
+
+OFFERS = [("https://a.com", 0, "https://a.com", "<a href='mailto:Info@a.com?x'>m</a><a href='tel:+49 30 901820'>t</a><a href='https://linkedin.com/company/a?x=1'>l</a><a href='https://x.com/a'>x</a><a href='/partners'>p</a>"), ("https://b.com", 0, "https://b.com", "<p>mail us: hi@b.com or x@other.org</p>")]
+
+
+@query("SELECT * FROM (VALUES ('https://a.com', 'info@a.com', '+4930901820', 'https://x.com/a', 'https://linkedin.com/company/a', 'https://a.com/partners'), ('https://b.com', 'hi@b.com', '', '', '', '')) t(site, emails, phones, socials, profile, partner_page)")
+def company_offers(spark, sf_dir):
+    from tessera.sources import offers
+
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return offers.company_contacts(spark.createDataFrame(OFFERS, "site string, page int, url string, html string")).select("site", joined("emails"), joined("phones"), joined("socials"), "profile", "partner_page")
