@@ -103,7 +103,7 @@ class SubwordModel:
 class WordScorer(dict):
     """Remembers, for each word, the sum of its features' values and their number."""
 
-    def __init__(self, values: np.ndarray, grams: tuple[int, ...], limit: int = 400_000):
+    def __init__(self, values: np.ndarray, grams: tuple[int, ...], limit: int = 150_000):
         super().__init__()
         self.values, self.grams, self.limit = values, grams, limit
         self.sums, self.counts, self.pending = np.zeros(0), np.zeros(0), []
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
 def score(docs: DataFrame, model: SubwordModel, keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """The columns ``keep`` (doc_id unless given) of every row, and in ``out`` the probability of label 1."""
     keep = keep or ["doc_id"]
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, 500, 2 << 20)  # a word takes some 100 bytes here
     values, bias = model.compact()
     held = docs.sparkSession.sparkContext.broadcast(values)  # one number a bucket, whatever the input
     grams, key = model.grams, uuid.uuid4().hex

@@ -34,7 +34,7 @@ class CachedEncoder(dict):
 
     _shared: dict[str, CachedEncoder] = {}
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
