@@ -18,7 +18,8 @@ from tessera.operators.ranking import top
 HIDDEN = {"script", "style", "noscript", "nav", "footer", "header", "aside", "form", "svg"}
 BLOCKS = {"p", "div", "li", "br", "h1", "h2", "h3", "h4", "tr", "section", "article", "main", "ul", "ol", "table", "blockquote"}
 VOID = {"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
-MOST_CHARS = 2_000_000
+#: Bytes of one Arrow batch, so that a batch of very long pages still fits a worker.
+BATCH_BYTES = 8 << 20
 
 
 class Reader(HTMLParser):
@@ -91,11 +92,15 @@ class Reader(HTMLParser):
 
 def read(html: str | None) -> Reader:
     reader = Reader()
-    reader.feed((html or "")[:MOST_CHARS])
+    reader.feed(html or "")
     reader.close()
     return reader
 
 
+def bound_batches(df: DataFrame) -> None:
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def lines(parts: list[str]) -> str:
     return "\n".join(x for x in (" ".join(p.split()) for p in "".join(parts).split("\n")) if x)
 
@@ -131,6 +136,7 @@ def parse_pages(pages: DataFrame, keep: list[str], html: str = "html") -> DataFr
             rows = pa.RecordBatch.from_pylist([page_row(h) for h in batch.column(len(keep)).to_pylist()], schema=PAGE)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *rows.columns], [*keep, *PAGE.names])
 
+    bound_batches(pages)
     kept = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
     return pages.select(*keep, html).mapInArrow(run, f"{kept}, title string, description string, headings array<string>, jsonld array<string>, text string, status string")
 
@@ -152,6 +158,7 @@ def links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> D
             kinds = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "page_url", "pos", "href", "said"])
 
+    bound_batches(pages)
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(F.col(key).alias("key"), url, html).mapInArrow(run, f"key {kind}, page_url string, pos int, href string, said string")
 

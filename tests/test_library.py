@@ -102,3 +102,12 @@ def test_stream_keeps_the_first_of_each_domain(spark, tmp_path):
     q = intake.run_batches(intake.first_seen(stream), lambda df, _: seen.extend(r.domain for r in df.select("domain").collect()), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert sorted(seen) == ["a.com", "b.io"]
+
+
+def test_long_pages_are_read_to_their_end(spark):
+    page = "<title>T</title><a href=\"/first\">one</a>" + "<p>some words</p>" * 150_000 + "<h2>Late</h2><p>the end</p><a href=\"/last\">two</a>"
+    assert len(page) > 2_000_000
+    pages = spark.createDataFrame([(1, "https://x.com", page)], "page_id long, url string, html string")
+    assert [r.href for r in html.links(pages, "page_id").orderBy("pos").collect()] == ["https://x.com/first", "https://x.com/last"]
+    row = html.parse_pages(pages, ["page_id"]).first()
+    assert row.headings == ["Late"] and row.text.endswith("the end\ntwo")
