@@ -31,7 +31,8 @@ def connected(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         large = both.join(least, "u").filter("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small_least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = common.materialise(moved.union(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, common.materialise(moved.union(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        common.forget(last)
         now = _state(e)
         if now == before:
             break

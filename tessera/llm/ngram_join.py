@@ -10,7 +10,7 @@ on both sides. Allocation says what a set puts into the index for each of its se
 * -1, nothing: for empty segments, and for as many as the bound allows. A pair has at least |X| - |x| // 4 of its |X| segments
   in common, so under one order of all segment subsets the first |x| // 4 + 1 of each side meet (the prefix principle). The
   order is by cost: subsets of more shingles, which are rarer, come first, and before all those with more shingles that a
-  sample of about ``SAMPLE_DOCS`` documents does not show to be shared. The sample orders the index and decides nothing;
+  sample of about ``SAMPLE_DOCS`` documents does not show to be shared. Samples order the index and decide nothing;
 * 0, the subset as it is: for those first |x| // 4 + 1;
 * 1, the subset and all its one-deletion neighbours: where a set has fewer filled segments than that. It then indexes every
   subset, with neighbours for those of two and more. A segment with neighbours tolerates one difference, so the filled
@@ -21,13 +21,13 @@ Sets within 1.25 of the next band are indexed there too. Every candidate is veri
 
 A bucket of more than ``HOT`` sets mostly says that they hold the same passage. Allocation skips it, and the sets in it are indexed
 again in the finest partition, one segment for each shingle: there only the elements that x itself has and the other lacks break
-x's segments, so the first fifth of each set, shared shingles last, meet. Linked sets r, s share at least 80 * (|r| + |s|) / 180
+x's segments, so the first fifth of each set meet, in the order of how many of about ``SAMPLE_HOT`` such sets hold the shingle. Linked sets r, s share at least 80 * (|r| + |s|) / 180
 shingles, and none before the first that they meet in, so only pairs count in which both have as many from there on. Two sets that
 are both in large buckets meet there; any other pair has met in a bucket that is not large.
 
 Buckets of the index are never expanded into all pairs. Each member is first compared with one of them (the hub);
 components of the links found settle most buckets. Only members that stay apart from their hub are then compared with the
-other members in other components. As only components are asked for, nothing is lost: a pair left out lies in one component.
+other members in other components; rarest shingles first, few of those are left that are not nearly alike. As only components are asked for, nothing is lost: a pair left out lies in one component.
 
 Copies are merged within a task before the index is built, and the few that are left, one a task at most, before it is used.
 
@@ -56,13 +56,14 @@ NUM, DEN = 80, 100
 BAND = 3
 #: Segments per shingle of a band's largest sets.
 SPREAD = 0.35
-BATCH_ROWS = 1_000
 #: Sets in buckets of more members are indexed by single shingles as well, and those buckets are not used.
 HOT = 8
 #: In how many ways the hub of a bucket is chosen.
-HUBS = 16
+HUBS = 4
 #: The sample from which the index's order is fit, in how many of its distinct sets a shared shingle occurs, and most of these.
 SAMPLE_DOCS, SHARED_BY, MOST_SHARED = 8_000, 3, 200_000
+#: The same for the finest partition, whose sample is drawn from the sets in large buckets alone.
+SAMPLE_HOT, HOT_SHARED_BY, MOST_HOT_SHARED = 10_000, 2, 1_000_000
 
 
 def shingle_rows(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
@@ -152,20 +153,23 @@ def index_keys(items: np.ndarray, common_items: np.ndarray = np.zeros(0, np.uint
     return np.concatenate(found)
 
 
-def shared_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Sorted shingles that several distinct texts of the sample hold, the most frequent ones if there are too many."""
-    picked = common.bounded_sample(docs, id_col, SAMPLE_DOCS)
-    texts = picked.select(F.col(text_col).alias("text")).distinct().withColumn("id", F.lit(0).cast("bigint"))
-    counts = texts.mapInArrow(_items, "id bigint, n bigint, items array<bigint>").select(F.explode("items").alias("item")).groupBy("item").count()
-    found = counts.filter(F.col("count") >= SHARED_BY).orderBy(F.desc("count"), "item").limit(MOST_SHARED).select("item").collect()
-    return np.sort(np.array([r.item for r in found], np.int64).view(np.uint64))
+def shared_shingles(texts: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that at least ``least`` distinct texts (text) hold, the most frequent ones if there are too many, and how many hold each."""
+    named = texts.select("text").distinct().withColumn("id", F.lit(0).cast("bigint"))
+    counts = named.mapInArrow(_items, "id bigint, n bigint, items array<bigint>").select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").cast("int").alias("n"))
+    found = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "item").limit(most).toArrow()
+    items, n = found["item"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(items)
+    return items[order], n[order]
 
 
-def fine_keys(items: np.ndarray, common_items: np.ndarray) -> np.ndarray:
-    """The shingles that a set indexes in the finest partition, in the order that all sets follow."""
-    n = len(items)
-    shared = np.isin(items, common_items, assume_unique=True)
-    return items[np.lexsort((items, shared))[: n - -(-4 * n // 5) + 1]]
+def fine_keys(items: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles that a set indexes in the finest partition, in the order that all sets follow: rare ones first."""
+    n, held = len(items), np.zeros(len(items), int)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, items), len(known) - 1)
+        held = np.where(known[at] == items, counts[at], 0)
+    return items[np.lexsort((items, held))[: n - -(-4 * n // 5) + 1]]
 
 
 def finely_indexed(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, shared: Broadcast) -> DataFrame:
@@ -176,7 +180,7 @@ def finely_indexed(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame,
             keys, columns = [np.zeros(0, np.uint64)], [np.zeros((3, 0), np.int64)]
             for node, items in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
                 if n := len(items):
-                    keys.append(fine_keys(items, shared.value))
+                    keys.append(fine_keys(items, *shared.value))
                     k = len(keys[-1])
                     columns.append(np.stack([np.full(k, node), n - np.arange(k), np.full(k, n)]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, np.concatenate(columns, axis=1))], ["key", "node", "left", "size"])
@@ -232,30 +236,37 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_shingles, component_id), one for each row of ``docs``."""
     spark = docs.sparkSession
-    common.small_batches(spark, BATCH_ROWS, 3 << 20)  # numpy holds some 40 bytes for each of text
-    shared = spark.sparkContext.broadcast(shared_shingles(docs, id_col, text_col))  # MOST_SHARED numbers at most
+    common.small_batches(spark)
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    shared = spark.sparkContext.broadcast(shared_shingles(common.bounded_sample(texts, "id", SAMPLE_DOCS), SHARED_BY, MOST_SHARED)[0])  # MOST_SHARED numbers at most
     index = common.materialise(indexed(docs, id_col, text_col, shared), "ngram-index")
     # copies in different tasks: one of them stands for all
     heads = index.filter("first_id = id and digest is not null").select("id", "digest")
     chief = heads.groupBy("digest").agg(F.min("id").alias("chief"), F.max("id").alias("last")).filter("chief < last").select("digest", "chief")
-    doubles = common.materialise(heads.join(chief, "digest").filter("id <> chief").select("chief", "id").distinct(), "ngram-doubles")
-    entries = common.semi_by_id(index.select("id", "keys"), doubles, "id", "left_anti").select(F.explode("keys").alias("key"), F.col("id").alias("node")).repartition("key")  # one shuffle serves both uses
+    doubles = common.materialise(heads.join(chief, "digest").filter("id <> chief").select("chief", "id", "digest").distinct(), "ngram-doubles")
+    # a row that is a copy leaves the index, other rows of its id stay
+    copied = doubles.select("id", "digest").distinct()
+    once = index.select("id", "digest", "keys").join(copied, ["id", "digest"], "left_anti")
+    entries = once.select(F.explode("keys").alias("key"), F.col("id").alias("node")).repartition("key")  # one shuffle serves both uses
     # which member is the hub changes with the bucket, so that a set of a large group meets several
     turn = F.struct(F.xxhash64("node", F.pmod("key", F.lit(HUBS))), "node")
     hubs = entries.groupBy("key").agg(F.min(turn).alias("hub"), F.min("node").alias("low"), F.max("node").alias("top"), F.count("*").alias("n")).filter("low < top").select("key", "hub.node", "n").withColumnRenamed("node", "hub")
     found = common.materialise(entries.join(hubs.hint("shuffle_hash"), "key"), "ngram-buckets")
     # sets in large buckets are indexed once more, by single shingles; pairs of them need not meet in large buckets
     hot = common.materialise(found.filter(F.col("n") > HOT).select(F.col("node").alias("id")).distinct(), "ngram-hot")
-    fine = common.materialise(finely_indexed(docs, id_col, text_col, hot, shared), "ngram-fine")
+    sample = common.semi_by_id(texts, common.bounded_sample(hot, "id", SAMPLE_HOT), "id")
+    order = spark.sparkContext.broadcast(shared_shingles(sample, HOT_SHARED_BY, MOST_HOT_SHARED))  # MOST_HOT_SHARED pairs of numbers at most
+    fine = common.materialise(finely_indexed(docs, id_col, text_col, hot, order), "ngram-fine")
     leads = fine.groupBy("key").agg(F.min(F.when(F.expr("9 * left >= 8 * size"), turn)).alias("hub"), F.min("node").alias("low"), F.max("node").alias("top")).filter("hub is not null and low < top").select("key", F.col("hub.node").alias("hub"))
     few = found.filter(F.col("n") <= HOT).select("key", "node", "hub")
     buckets = common.materialise(few.unionByName(fine.join(leads, "key"), allowMissingColumns=True), "ngram-buckets")
+    common.forget(found, fine, hot)
 
     pairs = common.materialise(buckets.filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "ngram-pairs")
     met = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     sets = common.materialise(with_sets(docs, id_col, text_col, met), "ngram-sets")
     copies = index.filter("first_id <> id").select(F.col("first_id").alias("a"), F.col("id").alias("b"))
-    links = common.materialise(similar(pairs, sets), "ngram-links").union(copies).union(doubles)
+    links = common.materialise(similar(pairs, sets).union(copies).union(doubles.select("chief", "id")), "ngram-links")
     groups = common.materialise(connected(links, "a", "b"), "ngram-groups")
 
     # members that stay apart from a hub meet those members of the same buckets that are in other components
@@ -272,6 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = common.materialise(similar(rest, sets), "ngram-links")
     if more.limit(1).count():
         groups = common.materialise(connected(links.union(more), "a", "b"), "ngram-groups")
+    common.forget(buckets, pairs, sets, doubles, links, alone, rest, more)
     found = index.select("id", "n_shingles").join(groups.withColumnRenamed("node", "id"), "id", "left")
     return found.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
