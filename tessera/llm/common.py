@@ -1,28 +1,47 @@
-"""Small helpers that the text operators share: scratch tables, batch sizes, folds."""
+"""Small helpers that the text operators share: scratch tables, batch sizes, folds, what a worker process remembers."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of one Arrow batch sent to Python, so that a batch of very long texts still fits a worker.
-BATCH_BYTES = 8 << 20
-BATCH_ROWS = 2_000
+#: Rows and bytes of one Arrow batch sent to Python, so that a batch of very long texts still fits a worker. The same
+#: for all operators, since the setting in force is the session's when a plan runs, not when it was made.
+BATCH_ROWS, BATCH_BYTES = 1_000, 2 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds; rows are bounded too since list columns are cheap to count."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+_worker: dict[str, Any] = {}
+
+
+def remembered(key: str, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps from task to task: one thing at a time, so that operators do not add up in its memory."""
+    if key not in _worker:
+        _worker.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _worker[key] = make()
+    return _worker[key]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """A new folder below ``spark.checkpoint.dir``. Only a local master (tests) may leave that unset and gets a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -31,14 +50,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared scratch folder and read it again: lineage ends there."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.scratch_path = path
+    return held
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def forget(*tables: DataFrame) -> None:
+    """Remove the files of materialised tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +92,12 @@ def fold(doc_id: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """All rows if there are at most ``limit``, else those whose key hashes low enough to leave about ``limit`` rows.
+    """All rows if there are at most ``limit``, else those whose key, with the row's copies of it, hashes low enough to leave
+    about ``limit`` rows, and never more than twice ``limit``: of rows that share a key (a null id, say) beyond that, the rest goes.
 
-    The same rows on every run, and no task or driver ever holds more than the sample.
+    The same rows on every run as long as no key repeats that often; no task or driver ever holds more than the sample.
     """
     n = df.count()
     if n <= limit:
         return df
-    return df.filter(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 40)) < int(limit / n * (1 << 40)))
+    return df.filter(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 40)) < int(limit / n * (1 << 40))).limit(2 * limit)

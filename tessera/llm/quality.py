@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,15 +108,6 @@ class WordScorer(dict):
         self.values, self.grams, self.limit = values, grams, limit
         self.sums, self.counts, self.pending = np.zeros(0), np.zeros(0), []
 
-    _shared: tuple[str, WordScorer | None] = ("", None)
-
-    @classmethod
-    def shared(cls, key: str, make: Callable[[], WordScorer]) -> WordScorer:
-        """The scorer of this key, which a worker process keeps from task to task."""
-        if cls._shared[0] != key:
-            cls._shared = (key, make())
-        return cls._shared[1]
-
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         self.pending.append(word)
@@ -155,13 +146,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
 def score(docs: DataFrame, model: SubwordModel, keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """The columns ``keep`` (doc_id unless given) of every row, and in ``out`` the probability of label 1."""
     keep = keep or ["doc_id"]
-    common.small_batches(docs.sparkSession, 500, 2 << 20)  # a word takes some 100 bytes here
+    common.small_batches(docs.sparkSession)
     values, bias = model.compact()
     held = docs.sparkSession.sparkContext.broadcast(values)  # one number a bucket, whatever the input
     grams, key = model.grams, uuid.uuid4().hex
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = WordScorer.shared(key, lambda: WordScorer(held.value, grams))
+        scorer = common.remembered(key, lambda: WordScorer(held.value, grams))
         for batch in batches:
             z = scorer.means([t or "" for t in batch.column(len(keep)).to_pylist()]) + bias
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))), pa.float64())], [*keep, out])

@@ -144,7 +144,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = CachedEncoder.shared(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = common.remembered(f"encoder {tokenizer}", lambda: CachedEncoder(tokenizer)), end_id.to_bytes(4, "little")
         part, seg, held, n_held = TaskContext.get().partitionId(), 0, [], 0
 
         def row() -> pa.RecordBatch:
@@ -189,7 +189,7 @@ def read_documents(store: DataFrame) -> DataFrame:
     ``start`` is a prefix sum in three steps (within a segment, over the segments of a part, over the parts), so no
     task sees more than one part's segment sizes or one row per part.
     """
-    common.small_batches(store.sparkSession, 8)  # a segment a row
+    common.small_batches(store.sparkSession)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

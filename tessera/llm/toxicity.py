@@ -18,7 +18,7 @@ alone says clean; other columns are left out; a text of any length is read whole
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,18 +92,10 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, ste
 class WordWeights(dict):
     """The weight of each word, remembered by a worker process from task to task."""
 
-    _shared: tuple[str, WordWeights | None] = ("", None)
-
     def __init__(self, weights: np.ndarray, bias: float, limit: int = 600_000):
         super().__init__()
         self.weights, self.bias, self.limit = weights, bias, limit
 
-    @classmethod
-    def shared(cls, key: str, make: Callable[[], WordWeights]) -> WordWeights:
-        if cls._shared[0] != key:
-            cls._shared = (key, make())
-        return cls._shared[1]
-
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if len(self) > self.limit:
             self.clear()
@@ -141,7 +133,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     held, key = docs.sparkSession.sparkContext.broadcast(weights), uuid.uuid4().hex  # one number a bucket
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordWeights.shared(key, lambda: WordWeights(held.value, bias))
+        words = common.remembered(key, lambda: WordWeights(held.value, bias))
         for batch in batches:
             z = words.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))), pa.float64())], ["doc_id", "score"])

@@ -165,7 +165,7 @@ def train(labelled: DataFrame, id_col: str, url_col: str, label_col: str, limit:
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, model: UrlModel | None = None, limit: int = SAMPLE_ROWS) -> DataFrame:
     """Rows (id, host, path, rule, verdict, score); labels for the trees are the rules' own verdicts unless a model is given."""
-    common.small_batches(pages.sparkSession, 10_000)
+    common.small_batches(pages.sparkSession)
     rule, said = rule_columns(rules)
     base = with_parts(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))).withColumn("rule", rule).withColumn("said", said)
     if model is None:

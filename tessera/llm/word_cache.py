@@ -32,8 +32,6 @@ def byte_letters() -> list[str]:
 class CachedEncoder(dict):
     """Maps a piece, which follows a space in its text, to its ids as little-endian 32-bit numbers."""
 
-    _shared: dict[str, CachedEncoder] = {}
-
     def __init__(self, path: str, limit: int = 300_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -45,13 +43,6 @@ class CachedEncoder(dict):
         self.split = regex.compile(WORDS)
         self.marks = {m: self.whole(m) for m in MARKS}
 
-    @classmethod
-    def shared(cls, path: str) -> CachedEncoder:
-        """One per worker process: what it has learned lasts over tasks."""
-        if path not in cls._shared:
-            cls._shared[path] = cls(path)
-        return cls._shared[path]
-
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
