@@ -262,16 +262,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = common.materialise(few.unionByName(fine.join(leads, "key"), allowMissingColumns=True), "ngram-buckets")
     common.forget(found, fine, hot)
 
-    pairs = common.materialise(buckets.filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "ngram-pairs")
+    pair = [F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")]
+    counted = common.materialise(buckets.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("times")), "ngram-counted")
+    pairs = common.materialise(counted.select(*pair).distinct(), "ngram-pairs")
     met = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     sets = common.materialise(with_sets(docs, id_col, text_col, met), "ngram-sets")
     copies = index.filter("first_id <> id").select(F.col("first_id").alias("a"), F.col("id").alias("b"))
-    links = common.materialise(similar(pairs, sets).union(copies).union(doubles.select("chief", "id")), "ngram-links")
+    # each member's pair with the hub it meets most often is verified first; the components of those links spare most other pairs
+    first = counted.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best")).select("node", F.col("best.hub").alias("hub")).select(*pair).distinct()
+    links = common.materialise(similar(first, sets).union(copies).union(doubles.select("chief", "id")), "ngram-links")
+    groups = common.materialise(connected(links, "a", "b"), "ngram-groups")
+    label = lambda df, c: df.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    between = lambda df: label(label(df, "a"), "b").filter("of_a <> of_b").select("a", "b")
+    second = common.materialise(similar(between(pairs.join(first, ["a", "b"], "left_anti")), sets), "ngram-links")
+    links = links.union(second)
     groups = common.materialise(connected(links, "a", "b"), "ngram-groups")
 
     # members that stay apart from a hub meet those members of the same buckets that are in other components
-    label = lambda df, c: df.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
-    apart = label(label(pairs, "a"), "b").filter("of_a <> of_b").select("a", "b")
+    apart = between(pairs)
     apart = apart.select(F.col("a").alias("hub"), F.col("b").alias("node")).union(apart.select("b", "a"))
     members = buckets.filter("node <> hub")
     side = lambda df, c: label(df.select("key", F.col("node").alias(c), F.col("left").alias(f"left_{c}"), F.col("size").alias(f"size_{c}")), c)
@@ -283,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = common.materialise(similar(rest, sets), "ngram-links")
     if more.limit(1).count():
         groups = common.materialise(connected(links.union(more), "a", "b"), "ngram-groups")
-    common.forget(buckets, pairs, sets, doubles, links, alone, rest, more)
+    common.forget(buckets, counted, pairs, sets, doubles, second, alone, rest, more)
     found = index.select("id", "n_shingles").join(groups.withColumnRenamed("node", "id"), "id", "left")
     return found.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
