@@ -1,9 +1,11 @@
 """URL verdicts: rules first, gradient-boosted trees on lexical features for the rest.
 
 Features of a url: lengths of url, host and path, path depth, labels of the host, digit ratio, entropy of its
-characters, number of parameters, hyphens, and for the last one and two labels of the host how often they occur
-among the training urls and which share of those is blocked. Trees are fit on the driver from a bounded sample of
-labelled urls (``SAMPLE_ROWS``); every url is scored in Arrow batches.
+characters, number of parameters, hyphens, and for the last one and two labels of the host and the first segment of the
+path their share of the training urls and the share of those that is blocked. Trees are fit on the driver from a bounded sample of labelled urls
+(``SAMPLE_ROWS``). While they are fit, the suffix figures of a url come from the other ``FOLDS`` - 1 folds of the sample,
+so that no url sees its own label; figures are shares in both cases, and scoring uses those of the whole sample. In the
+query the labels are the verdicts of the rules. Every url is scored in Arrow batches.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no rule, and features of an empty
 url; repeated rows and ids are judged row by row; an empty table gives an empty table; without labelled urls, or
@@ -25,6 +27,7 @@ from tessera.llm import common
 
 #: About how many labelled urls, at most, the trees are fit on: those whose ids have the smallest hashes.
 SAMPLE_ROWS = 20_000
+FOLDS = 5
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,9 +50,10 @@ def rule_columns(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def suffixes(host: str) -> tuple[str, str]:
+def suffixes(host: str, path: str) -> tuple[str, str, str]:
+    """The last one and two labels of the host, and the first segment of the path."""
     labels = host.rsplit(".", 2)
-    return labels[-1], ".".join(labels[-2:])
+    return labels[-1], ".".join(labels[-2:]), "/" + path[1:].split("/", 1)[0]
 
 
 def lexical(url: str | None, host: str, path: str) -> list[float]:
@@ -69,7 +73,7 @@ class Trees:
         self.base, self.trees = 0.0, []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+        self.cuts = [self._between(c) for c in x.T]
         binned = self._binned(x)
         share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
         self.base = float(np.log(share / (1 - share)))
@@ -82,6 +86,13 @@ class Trees:
             score += self._walk(tree, binned)
         return self
 
+    def _between(self, column: np.ndarray) -> np.ndarray:
+        """At most bins - 1 cuts, halfway between neighbouring values, so that what is near a training value falls into its bin."""
+        values = np.unique(column)
+        picked = np.unique(np.searchsorted(values, np.quantile(column, np.linspace(0, 1, self.bins + 1)[1:-1], method="nearest")))
+        picked = picked[picked + 1 < len(values)]
+        return (values[picked] + values[picked + 1]) / 2
+
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, v, "left") for c, v in zip(self.cuts, x.T, strict=True)], axis=1)
 
@@ -127,33 +138,43 @@ class UrlModel:
     def fit(self, rows: list[tuple[str | None, str, str, int]]) -> UrlModel:
         y = np.array([r[3] for r in rows], float)
         self.rate = float(y.mean()) if len(y) else 0.0
-        self.seen: Counter = Counter()
-        self.blocked: Counter = Counter()
-        for r in rows:
-            for s in set(suffixes(r[1])):
-                self.seen[s] += 1
-                self.blocked[s] += r[3]
+        self.figures = self.count(rows)
         self.trees = Trees()
         if 0 < self.rate < 1:
-            self.trees.fit(self.features([r[:3] for r in rows], leave=y), y)
+            folds = np.random.default_rng(5).permutation(len(rows)) % FOLDS
+            x = np.zeros((len(rows), 16))
+            for k in range(FOLDS):
+                own = np.flatnonzero(folds == k)
+                others = self.count([rows[i] for i in np.flatnonzero(folds != k)])
+                x[own] = self.features([rows[i][:3] for i in own], others)
+            self.trees.fit(x, y)
         else:
             self.trees.base = 30.0 if self.rate else -30.0
         return self
 
-    def features(self, rows: list[tuple[str | None, str, str]], leave: np.ndarray | None = None) -> np.ndarray:
-        """``leave``: the rows' own labels, taken out of the suffix shares while training."""
+    @staticmethod
+    def count(rows: list[tuple[str | None, str, str, int]]) -> tuple[int, Counter, Counter]:
+        """Number of rows, and for each suffix how many rows and how many blocked ones have it."""
+        seen: Counter = Counter()
+        blocked: Counter = Counter()
+        for _, host, path, label in rows:
+            for s in set(suffixes(host, path)):
+                seen[s] += 1
+                blocked[s] += label
+        return len(rows), seen, blocked
+
+    def features(self, rows: list[tuple[str | None, str, str]], figures: tuple[int, Counter, Counter]) -> np.ndarray:
+        total, seen, blocked = figures
         out = []
-        for i, (url, host, path) in enumerate(rows):
+        for url, host, path in rows:
             x = lexical(url, host, path)
-            for s in suffixes(host):
-                own, hit = (1, leave[i]) if leave is not None else (0, 0)
-                n = self.seen[s] - own
-                x += [np.log1p(n), (self.blocked[s] - hit + 2 * self.rate) / (n + 2)]
+            for s in suffixes(host, path):
+                x += [seen[s] / max(total, 1), (blocked[s] + 2 * self.rate) / (seen[s] + 2)]
             out.append(x)
-        return np.array(out, float).reshape(len(rows), 14)
+        return np.array(out, float).reshape(len(rows), 16)
 
     def score(self, rows: list[tuple[str | None, str, str]]) -> np.ndarray:
-        return self.trees.probability(self.features(rows))
+        return self.trees.probability(self.features(rows, self.figures))
 
 
 def train(labelled: DataFrame, id_col: str, url_col: str, label_col: str, limit: int = SAMPLE_ROWS) -> UrlModel:

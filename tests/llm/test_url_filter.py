@@ -54,3 +54,17 @@ def test_query_covers_all_pages(spark, sf_dir):
     for r in got:
         want = expected(pages[r.page_id])
         assert (r.host, r.path, r.rule) == want[:3] and r.verdict == (want[3] or r.verdict)
+
+
+def test_held_out_urls_of_the_table(spark):
+    """Trees fit on four fifths of the urls with a rule, judged on the rest of them; and not every other url gets the same verdict."""
+    rule, said = U.rule_columns(U.RULES)
+    pages = U.with_parts(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")).withColumn("said", said)
+    rows = [(r.url, r.host, r.path, int(r.said == "block")) for r in pages.filter("said is not null").orderBy("page_id").collect()]
+    train, held = [r for i, r in enumerate(rows) if i % 5], rows[::5]
+    got = U.UrlModel().fit(train).score([r[:3] for r in held])
+    right = sum((p >= 0.5) == bool(r[3]) for p, r in zip(got, held, strict=True))
+    print(f"held-out urls right: {right} of {len(held)}")
+    assert len(held) > 200 and right >= 0.9 * len(held)
+    verdicts = {r.verdict for r in U.judge(pages.drop("said", "host", "path")).filter("rule is null").select("verdict").distinct().collect()}
+    assert verdicts == {"allow", "block"}
