@@ -71,7 +71,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def semi_by_id(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+def semi_by_id(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose ``on`` is in ``ids`` (or is not: left_anti): by broadcast where their number, counted first,
     allows it, else by a shuffle."""
     ids = ids.select(on).distinct()

@@ -228,7 +228,9 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda c, *more: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), *(F.col(m).alias(f"{m}_{c}") for m in more))
     # sizes first, which are small; then the sets of the pairs that are left
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and least(n_a, n_b) > 0")
-    both = near.select("a", "b").distinct().join(side("a", "items"), "a").join(side("b", "items"), "b")
+    near = common.materialise(near.select("a", "b").distinct(), "ngram-near")
+    held = lambda c: common.semi_by_id(sets, near.select(F.col(c).alias("id")), "id").select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("items").alias(f"items_{c}"))
+    both = near.join(held("a"), "a").join(held("b"), "b")
     common_items = F.size(F.array_intersect("items_a", "items_b"))
     return both.filter(DEN * common_items >= NUM * (F.col("n_a") + F.col("n_b") - common_items)).select("a", "b").distinct()
 
@@ -246,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doubles = common.materialise(heads.join(chief, "digest").filter("id <> chief").select("chief", "id", "digest").distinct(), "ngram-doubles")
     # a row that is a copy leaves the index, other rows of its id stay
     copied = doubles.select("id", "digest").distinct()
-    once = index.select("id", "digest", "keys").join(copied, ["id", "digest"], "left_anti")
+    once = common.semi_by_id(index.select("id", "digest", "keys"), copied, ["id", "digest"], "left_anti")
     entries = once.select(F.explode("keys").alias("key"), F.col("id").alias("node")).repartition("key")  # one shuffle serves both uses
     # which member is the hub changes with the bucket, so that a set of a large group meets several
     turn = F.struct(F.xxhash64("node", F.pmod("key", F.lit(HUBS))), "node")
