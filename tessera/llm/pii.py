@@ -7,8 +7,8 @@ rewrite the text piece by piece, keeping for every character of the result the s
 * runs of spelled digits ("four one nine") become digits, "plus" before and "dot" or "point" between them likewise;
 * "(at)", "[at]", " at " and "(dot)", "[dot]", " dot " become "@" and "." where an address can stand.
 
-The same patterns run over the result, and every find that touches rewritten text is mapped back to the source. A
-bare " at " counts only if the domain after it is written with a disguised dot, so that prose is left alone.
+The same patterns run over the result, and every find that touches rewritten text is mapped back to the source, unless it lies
+within a plain find of its kind; one that reaches beyond a plain find is added beside it. A bare " at " counts only if the domain after it is written with a disguised dot, so that prose is left alone.
 
 Defined cases: a null text is an empty text; an empty text has no spans; repeated rows and ids are judged row by
 row; an empty table gives an empty table; other columns are left out; a text of any length is read whole.
@@ -62,12 +62,14 @@ SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ -]+)?(?:{WORD})(?:[ ,-]+(?:(?:dot|po
 SPELLED_PART = re.compile(rf"(?i)plus|dot|point|{WORD}|[0-9]+")
 # Cheap tests of the lower-cased text: the second and third word of a spelled run; a boxed sign or a bare " dot ".
 HINT = re.compile(rf"[ ,-](?:{WORD})[ ,-]+(?:(?:dot|point)[ ,-]+)?(?:{WORD}|[0-9])")
-AT = r"\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*".format()
 DOT = r"\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*".format()
-BOXED = re.compile(rf"(?i){AT}|{DOT}")
 NAME, LABEL = r"[A-Za-z0-9_%+-]+", r"[A-Za-z0-9-]+"
-# An address with any disguise: its local part and its domain may be dotted plainly or in disguise.
-ADDRESS = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])({NAME}(?:(?:\.|{DOT}| dot ){NAME})*?)({AT}| at |@)({LABEL}(?:(?:\.|{DOT}| dot ){LABEL})+)")
+# An address with any disguise is found from its sign: the domain after it, and before it, in the text turned round, its local part;
+# both may be dotted plainly or in disguise. A boxed sign takes the white space around it.
+SIGN = re.compile(r"(?i)[\[({<]\s*(?:at|@)\s*[\])}>]| at |@")
+AFTER = re.compile(rf"(?i)\s*({LABEL}(?:(?:\.|{DOT}| dot ){LABEL})+)")
+TURNED_DOT = r"\s*[\])}>]\s*(?:tod|\.)\s*[\[({<]\s*"
+BEFORE = re.compile(rf"(?i)\s*({NAME}(?:(?:\.|{TURNED_DOT}| tod ){NAME})*)")
 BOX = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]")
 IN_ADDRESS_DOT = re.compile(rf"(?i){DOT}| dot ")
 
@@ -161,15 +163,28 @@ def spelled_edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def address_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in ADDRESS.finditer(text):
-        bare, dots = m[2].lower() == " at ", list(IN_ADDRESS_DOT.finditer(text, m.start(3), m.end(3)))
-        local = list(IN_ADDRESS_DOT.finditer(text, m.start(1), m.end(1)))
-        if bare and not dots or m[2] == "@" and not dots + local:
+    edits, turned, free = [], None, 0
+    for sign in SIGN.finditer(text):
+        a, b = sign.span()
+        if a < free:
+            continue
+        plain_sign, boxed_sign = sign[0] == "@", sign[0][0] in "[({<"
+        domain = AFTER.match(text, b)
+        if not domain or (domain.start(1) > b and not boxed_sign):
+            continue
+        turned = turned if turned is not None else text[::-1]
+        local = BEFORE.match(turned, len(text) - a, len(text) - free)
+        if not local or (local.start(1) > len(text) - a and not boxed_sign):
+            continue
+        free = domain.end(1)
+        dots = list(IN_ADDRESS_DOT.finditer(text, domain.start(1), domain.end(1)))
+        first, last = len(text) - local.end(1), len(text) - local.start(1)
+        inner = list(IN_ADDRESS_DOT.finditer(text, first, last))
+        if not plain_sign and not boxed_sign and not dots or plain_sign and not dots + inner:
             continue
-        edits += [(d.start(), d.end(), ".") for d in local]
-        if m[2] != "@":
-            edits.append((m.start(2), m.end(2), "@"))
+        edits += [(d.start(), d.end(), ".") for d in inner]
+        if not plain_sign:
+            edits.append((last, domain.start(1), "@"))
         edits += [(d.start(), d.end(), ".") for d in dots]
     return edits
 
@@ -210,8 +225,8 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
         if touched[b] == touched[a]:
             continue
         start, end = int(mapped.start[a]), int(mapped.end[b - 1])
-        if all(end <= x or start >= y for x, y in taken[kind]):
-            added.append((kind, start, end))
+        if not any(x <= start and end <= y for x, y in taken[kind]):
+            added.append((kind, start, end))  # what only widens a plain find stands beside it
     return base, added
 
 
