@@ -2,16 +2,19 @@
 
 Read: both byte orders, strips and tiles, no compression, PackBits, LZW and deflate, horizontal differencing,
 8 or 16 bits a sample, chunky samples. Written (for round trips): 8-bit grey pages with any of these codecs.
+Each page also gets figures of its samples: least, greatest, sum, and how many differ from their left neighbour.
 
 Defined cases: a null value gives no page; a value that is not a readable TIFF gives one row with page null and the
-reason in ``error``; a page that fails gives its row with null pixels and the reason, and the other pages are
-still read; directories that point back at themselves end the walk; repeated rows and ids give their own pages;
-an empty table gives an empty table; of other columns only those named in ``keep`` are carried. Pages may be of any
-size that fits a binary value.
+reason in ``error``; a page that fails in whatever way (sizes of zero, fields that point beyond the file, blocks that are
+short, too few or absent, more samples than the stored bytes can hold) gives its row with null pixels and the reason,
+and the other pages are still read; directories that point back at themselves or beyond the file end the walk; repeated
+rows and ids give their own pages; an empty table gives an empty table; of other columns only those named in ``keep`` are
+carried, and a name that a page column has too raises ValueError. Pages may be of any size that fits a binary value.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,9 +36,10 @@ LETTERS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 # --- codecs -----------------------------------------------------------------------------------------------------
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int = 1 << 31) -> bytes:
+    """At least ``most`` bytes of the content, if it has as many."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < most:
         k = data[i]
         if k < 128:
             out += data[i + 1 : i + 2 + k]
@@ -47,69 +51,62 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def pack_bits(data: bytes) -> bytes:
     """Runs of three and more are repeated bytes; all else is literal."""
-    out, i, literal, n = bytearray(), 0, bytearray(), len(data)
-
-    def flush() -> None:
+    out, at = bytearray(), 0
+    for run in [*RUN.finditer(data), None]:
+        literal = data[at : run.start() if run else len(data)]
         for k in range(0, len(literal), 128):
             part = literal[k : k + 128]
             out.append(len(part) - 1)
-            out.extend(part)
-        literal.clear()
-
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run >= 3:
-            flush()
-            out += bytes((257 - run, data[i]))
-        else:
-            literal += data[i : i + run]
-        i += run
-    flush()
+            out += part
+        if run:
+            out += bytes((257 - len(run[0]), run[0][0]))
+            at = run.end()
     return bytes(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, high bit first, widened one code early; the table is cleared before it is full."""
-    fresh = {bytes([b]): b for b in range(256)}
-    table, width, bits, held = dict(fresh), 9, 256, 9  # begins with a clear code
-    out, word = bytearray(), b""
-
-    def put(code: int) -> None:
-        nonlocal bits, held
-        bits, held = bits << width | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(bits >> held & 255)
-        bits &= (1 << held) - 1
-
+    table: dict[int, int] = {}  # code of a word and the byte behind it -> code of the longer word
+    width, bits, held, following = 9, 256, 9, 258  # begins with a clear code
+    out, word = bytearray(), -1
     for b in data:
-        longer = word + bytes([b])
-        if longer in table:
-            word = longer
+        if word < 0:
+            word = b
+            continue
+        longer = word << 8 | b
+        code = table.get(longer)
+        if code is not None:
+            word = code
             continue
-        put(table[word])
-        table[longer] = len(table) + 2
-        word = bytes([b])
-        if len(table) + 2 == 4094:
-            put(256)
-            table, width = dict(fresh), 9
-        elif len(table) + 2 > (1 << width) - 1:
+        bits, held = bits << width | word, held + width
+        table[longer], word = following, b
+        following += 1
+        if following == 4094:
+            bits, held = bits << width | 256, held + width
+            table.clear()
+            width, following = 9, 258
+        elif following > (1 << width) - 1:
             width += 1
-    if word:
-        put(table[word])
-        if len(table) + 3 > (1 << width) - 1 and width < 12:
+        if held >= 1024:
+            rest = held % 8
+            out += (bits >> rest).to_bytes(held // 8, "big")
+            bits, held = bits & ((1 << rest) - 1), rest
+    if word >= 0:
+        bits, held = bits << width | word, held + width
+        if following + 1 > (1 << width) - 1 and width < 12:
             width += 1
-    put(257)
-    if held:
-        out.append(bits << (8 - held) & 255)
-    return bytes(out)
+    bits, held = bits << width | 257, held + width
+    pad = -held % 8
+    return bytes(out + (bits << pad).to_bytes((held + pad) // 8, "big"))
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = 1 << 31) -> bytes:
+    """At least ``most`` bytes of the content, if it has as many."""
     words = [bytes([b]) for b in range(256)] + [b"", b""]
     table, width, bits, held, last, out = list(words), 9, 0, 0, b"", bytearray()
     for byte in data:
@@ -130,6 +127,8 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise ValueError("bad LZW code")
         out += word
+        if len(out) >= most:
+            break
         if last:
             table.append(last + word[:1])
         last = word
@@ -142,12 +141,15 @@ def compress(data: bytes, codec: int) -> bytes:
     return {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda d: zlib.compress(d, 1), PACKBITS: pack_bits}[codec](data)
 
 
-def expand(data: bytes, codec: int) -> bytes:
-    if codec not in CODECS:
-        raise ValueError(f"compression {codec} is not supported")
+#: How many bytes one stored byte can stand for.
+GROWTH = {NONE: 1, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032, PACKBITS: 128}
+
+
+def expand(data: bytes, codec: int, most: int = 1 << 31) -> bytes:
+    """The content of a block; of one that holds more than ``most`` bytes at least the first ``most``."""
     if codec in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompressobj().decompress(data)
-    return {NONE: bytes, LZW: lzw_decode, PACKBITS: unpack_bits}[codec](data)
+        return zlib.decompressobj().decompress(data, most)
+    return {NONE: lambda d, n: bytes(d[:n]), LZW: lzw_decode, PACKBITS: unpack_bits}[codec](data, most)
 
 
 # --- files ------------------------------------------------------------------------------------------------------
@@ -233,52 +235,67 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
             place = at + 10 + 12 * k
             if SIZES[kind] * n > 4:
                 (place,) = struct.unpack_from(order + "I", data, place)
-            fields[tag] = struct.unpack_from(f"{order}{n}{LETTERS[kind]}", data, place)
+            if place + SIZES[kind] * n <= len(data):  # else the page lacks the field
+                fields[tag] = struct.unpack_from(f"{order}{n}{LETTERS[kind]}", data, place)
         yield fields
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
 
 
 def read_page(data: bytes, fields: dict[int, tuple]) -> tuple[dict, bytes]:
     """The page's figures and its samples, row by row, in the file's byte order undone to little-endian."""
-    one = lambda tag, default=None: fields.get(tag, (default,))[0]
+    one = lambda tag, default=0: (fields.get(tag) or (default,))[0]
     order, width, height = fields[0][0], one(256), one(257)
     codec, predictor, per = one(259, NONE), one(317, 1), one(277, 1)
     bits = one(258, 1)
     facts = {"width": width, "height": height, "bits": bits, "samples": per, "codec": CODECS.get(codec, str(codec)), "predictor": predictor}
+    if codec not in CODECS:
+        raise ValueError(f"compression {codec} is not supported")
     if bits not in (8, 16) or one(284, 1) != 1 or predictor not in (1, 2):
         raise ValueError("only chunky samples of 8 or 16 bits, with predictor 1 or 2, are supported")
     kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
     tiled = 324 in fields
     block_w, block_h = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
-    places, sizes = (fields[324], fields[325]) if tiled else (fields[273], fields[279])
-    across = -(-width // block_w)
+    if min(width, height, per, block_w, block_h) < 1:
+        raise ValueError("a size is absent or not positive")
+    places, sizes = fields.get(324 if tiled else 273, ()), fields.get(325 if tiled else 279, ())
+    across, down = -(-width // block_w), -(-height // block_h)
+    if len(places) != len(sizes) or len(places) < across * down:
+        raise ValueError("blocks are missing")
+    need = width * height * per * kind.itemsize
+    if need >= 1 << 31 or need > GROWTH[codec] * sum(sizes[: across * down]):
+        raise ValueError("more samples than a value or the stored bytes can hold")
     facts["blocks"] = len(places)
     image = np.zeros((height, width, per), kind.newbyteorder("<"))
-    for k, (place, n) in enumerate(zip(places, sizes, strict=True)):
+    for k, (place, n) in enumerate(zip(places[: across * down], sizes, strict=False)):
         top, left = k // across * block_h, k % across * block_w
         rows = block_h if tiled else min(block_h, height - top)
         if place + n > len(data):
             raise ValueError("a block lies beyond the file")
-        raw = expand(data[place : place + n], codec)
-        need = rows * block_w * per * kind.itemsize
-        if len(raw) < need:
+        full = rows * block_w * per * kind.itemsize
+        if full > GROWTH[codec] * n:
+            raise ValueError("a block is too short")
+        raw = expand(data[place : place + n], codec, full)
+        if len(raw) < full:
             raise ValueError("a block is too short")
         block = np.frombuffer(raw, kind, rows * block_w * per).reshape(rows, block_w, per).astype(kind.newbyteorder("<"))
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=block.dtype)
         part = block[: height - top, : width - left]
         image[top : top + len(part), left : left + part.shape[1]] = part
+    facts |= {"least": int(image.min()), "greatest": int(image.max()), "total": int(image.sum(dtype=np.int64)), "changes": int((image[:, 1:] != image[:, :-1]).sum())}
     return facts, image.tobytes()
 
 
-PAGE = "page int, width int, height int, bits int, samples int, codec string, predictor int, blocks int, pixels binary, error string"
+PAGE = "page int, width int, height int, bits int, samples int, codec string, predictor int, blocks int, least int, greatest int, total bigint, changes bigint, pixels binary, error string"
 
 
 def pages(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
     """One row per page of each file in column ``content``, with the columns in ``keep``."""
     common.small_batches(df.sparkSession)
     names = [x.split()[0] for x in PAGE.split(", ")]
-    page_schema = pa.schema([(n, pa.binary() if t == "binary" else pa.string() if t == "string" else pa.int32()) for n, t in (x.split() for x in PAGE.split(", "))])
+    if clash := {k.lower() for k in keep} & set(names):
+        raise ValueError(f"columns that a page has too: {sorted(clash)}")
+    page_schema = pa.schema([(n, {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[t]) for n, t in (x.split() for x in PAGE.split(", "))])
 
     def read(data: bytes) -> list[dict]:
         out, page = [], 0
@@ -288,8 +305,8 @@ def pages(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
                 try:
                     facts, pixels = read_page(data, fields)
                     row |= facts | {"pixels": pixels}
-                except (ValueError, TypeError, KeyError, struct.error, zlib.error) as e:
-                    row |= {"error": str(e)[:200]}
+                except Exception as e:  # noqa: BLE001  whatever is wrong with a page is its row's error
+                    row |= {"error": f"{type(e).__name__}: {e}"[:200]}
                 out.append(row)
                 page += 1
         except (ValueError, struct.error) as e:
@@ -310,16 +327,12 @@ def pages(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
 def store_bytes(data: bytes, width: int = 64) -> bytes:
     """Bytes, zero-filled to a positive multiple of ``width``, as one grey page.
 
-    The codec follows the size alone: LZW up to 8 rows, PackBits up to 16, then deflate with differencing in strips, and
-    in tiles beyond 1024 rows.
+    The checksum of the bytes picks one of five forms, so that all codecs meet texts of all sizes: stored plainly, LZW,
+    PackBits, deflate in strips, and deflate in tiles; the last two and LZW with differencing.
     """
     payload = data + b"\0" * (-len(data) % width or (0 if data else width))
-    rows = len(payload) // width
-    if rows <= 8:
-        return write_page(payload, width, LZW)
-    if rows <= 16:
-        return write_page(payload, width, PACKBITS)
-    return write_page(payload, width, DEFLATE, 2, tile=width if rows > 1024 else 0, rows_per_strip=128)
+    codec, predictor, tile = ((NONE, 1, 0), (LZW, 2, 0), (PACKBITS, 1, 0), (DEFLATE, 2, 0), (DEFLATE, 2, width))[zlib.crc32(payload) % 5]
+    return write_page(payload, width, codec, predictor, tile, rows_per_strip=128)
 
 
 def encode(df: DataFrame, content: str, keep: list[str], out: str = "tiff") -> DataFrame:
@@ -347,5 +360,5 @@ def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("pixels", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(pixels, -64, 64)")).alias("tail_crc32"),
         "media_bytes", "media_sha256",
-        F.concat_ws(":", F.concat_ws("x", "width", "height"), "codec", F.concat(F.lit("p"), "predictor"), F.concat(F.lit("b"), "blocks")).alias("feature"),
+        F.concat_ws(":", F.concat_ws("x", "width", "height"), "codec", F.concat(F.lit("p"), "predictor"), F.concat(F.lit("b"), "blocks"), F.concat_ws("-", "least", "greatest"), "total", "changes").alias("feature"),
     )

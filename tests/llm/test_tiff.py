@@ -1,5 +1,6 @@
 import os
 import random
+import struct
 
 import pytest
 
@@ -72,3 +73,34 @@ def test_query_reads_back_every_text(spark, sf_dir):
         full = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
         r = got[d.doc_id]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        media = tiff.store_bytes(raw)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        changes = sum(x != y for k in range(0, len(full), 64) for x, y in zip(full[k : k + 63], full[k + 1 : k + 64], strict=True))
+        assert r.feature.startswith(f"64x{len(full) // 64}:") and r.feature.endswith(f":{min(full)}-{max(full)}:{sum(full)}:{changes}")
+    assert {r.feature.split(":")[1] for r in got.values()} == {"none", "lzw", "packbits", "deflate"}
+
+
+def changed(data, tag, value):
+    """The file with another value of a field of its first directory."""
+    out = bytearray(data)
+    (at,) = struct.unpack_from("<I", out, 4)
+    (count,) = struct.unpack_from("<H", out, at)
+    for k in range(count):
+        if struct.unpack_from("<H", out, at + 2 + 12 * k)[0] == tag:
+            struct.pack_into("<I", out, at + 10 + 12 * k, value)
+    return out
+
+
+def test_broken_sizes_are_rows_with_a_reason(spark):
+    page = tiff.write_page(b"abcd" * 160, 64, tiff.DEFLATE)
+    several = tiff.write_page(b"abcd" * 160, 64, tiff.DEFLATE, rows_per_strip=2)
+    huge = changed(changed(page, 256, 2**31 - 1), 257, 2**31 - 1)
+    bad = [changed(page, 256, 0), changed(page, 257, 0), huge, changed(page, 277, 0), changed(page, 278, 0), changed(page, 273, 10**6), changed(page, 279, 3), changed(page, 259, 7), changed(several, 273, 10**8), changed(several, 257, 5000)]
+    both = bytearray(tiff.join_pages([several, page]))
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bad)] + [(99, changed(both, 273, 10**8))], "id long, data binary")
+    out = tiff.pages(df, "data", ["id"]).collect()
+    assert len(out) == len(bad) + 2
+    assert all(r.error and r.pixels is None for r in out if r.id < 99)
+    assert [(r.page, r.pixels is None) for r in sorted(out, key=lambda r: r.page) if r.id == 99] == [(0, True), (1, False)]
+    with pytest.raises(ValueError):
+        tiff.pages(df.withColumnRenamed("id", "Page"), "data", ["Page"])
