@@ -33,6 +33,20 @@ GENERIC_PHRASES = ["i hope this email finds you well", "touch base", "synergy",
 BAD_PERSON_WORDS = ["About", "All", "And", "Careers", "Company", "Contact", "Co", "Home", "Legal", "Needle", "Press", "Privacy", "Processing", "Read", "Run", "Security", "Support", "Team", "Terms", "The", "We"]
 LEAK_SIGNS = r"(?i)(?:\w+_\w+\s*[:=]|/[a-z]/\d+/|\.json\b|max_tokens|temperature|top_[kp]|frequency|system_name|binary_name|latency|cache|PARAMS\s*:)"
 
+# What profiles say of moves, of free time and of periods, and where profiles are.
+MOVE_PHRASES = ["now at", "now with", "now @", "joined", "moved to", "currently at", "currently with", "currently @"]
+FREE_PHRASES = ["opentowork", "open to work", "laid off", "looking for", "seeking.*opportunit", "between roles", "available for hire", "freelanc", "independent consultant"]
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+PROFILE_PATH = "linkedin.com/in"
+
+# Roles of persons, those that are written to first, and the parts of a mail that are not its text.
+ROLES = ["founder", "co-founder", "ceo", "cto", "cfo", "coo", "cpo", "president", "head of [a-z]+", "vp of [a-z]+", "director of [a-z]+", "developer relations", "devrel", "growth", "marketing", "product", "partnerships?", "community", "sales", "business development", "customer success", "recruiting", "talent"]
+TARGET_ROLES = ["market", "partner", "growth", "customer success", "business develop", "developer relat", "devrel", "community", "sales", "account", "outreach", "demand gen", "talent", "recruiting", "people ops"]
+REMARKS = ["this response", "this email", "here is", "i hope this", "let me know if", "note:", "the above", "i've written", "i've crafted", "i've composed", "word count"]
+GREETINGS = ["dear", "hi", "hello", "hey"]
+SIGN_OFFS = ["best", "regards", "cheers", "thanks", "thank you", "sincerely", "warm regards"]
+SUBJECT_MARKS = ["subject:", "subject line:", "re:"]
+
 # Words of target profiles.
 GENERIC_TERMS = ["startup", "startups", "company", "companies", "tool", "tools", "early", "software", "platform", "business"]
 STOPWORDS = ["and", "for", "the", "with", "that", "this"]

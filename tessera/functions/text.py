@@ -16,6 +16,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once a row, however often lambdas inside refer to it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def words(c: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
@@ -69,8 +74,9 @@ def clean_lines(c: Column, junk: str) -> Column:
     """Lines of 15 characters and more that neither start with ``junk`` nor carry a relative time, each once whatever its case."""
     lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n\r\x0B\f]"), strip)
     kept = F.filter(lines, lambda s: (F.length(s) >= 15) & ~s.rlike(junk) & ~s.rlike(r"(?i)\d+\s*min ago|just now|yesterday|· \d+"))
-    low = F.transform(kept, F.lower)
-    return F.filter(kept, lambda s, i: F.array_position(low, F.lower(s)) == i + 1)
+    placed = F.array_sort(F.transform(kept, lambda s, i: F.struct(F.lower(s).alias("low"), i.alias("i"), s.alias("s"))))
+    firsts = let(placed, lambda a: F.filter(a, lambda x, i: (i == 0) | (x["low"] != F.get(a, i - 1)["low"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"], x["s"]))), lambda x: x["s"])
 
 
 def usable(c: Column) -> Column:

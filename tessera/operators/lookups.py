@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import contacts, urls
+from tessera.functions.text import let
 from tessera.operators.ranking import top
 
 # Public facts (ISO 3166 names, country-code domains, ITU calling codes, main languages); ambiguous names are marked.
@@ -40,19 +41,26 @@ def places(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "token string, region_key string, kind int")
 
 
-def mentions(text: Column, token: Column) -> Column:
-    """The token stands in the text as words of its own; case does not matter."""
-    spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    return F.contains(spaced(text), spaced(token))
+def token_words(c: Column) -> Column:
+    """Lower-case runs of letters and digits."""
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def runs_of_words(c: Column, most: int) -> Column:
+    """All runs of one to ``most`` words, joined by spaces."""
+    return let(token_words(c), lambda w: F.array_distinct(F.flatten(F.transform(w, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(w) - i)), lambda n: F.array_join(F.slice(w, i + 1, n), " "))))))
 
 
 def resolve_places(df: DataFrame, text: str, key: str, dim: DataFrame, out: str = "region_key", kinds: int = 3) -> DataFrame:
     """Adds the region that the text names: names before demonyms before cities, longer tokens first; null without one.
 
-    The dimension is a few hundred rows and goes to every task. Only the texts, not their columns, meet it.
+    A token is found where it stands as words of its own: the runs of words of a text meet the tokens by equality, so the
+    dimension may have any size.
     """
-    texts = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).distinct()
-    hits = texts.join(F.broadcast(dim.filter(F.col("kind") < kinds).withColumnRenamed("region_key", out)), mentions(F.col("_text"), F.col("token")))
+    known = dim.filter(F.col("kind") < kinds).select("token", "kind", F.col("region_key").alias(out), F.array_join(token_words(F.col("token")), " ").alias("_run"))
+    most = known.agg(F.max(F.size(F.split("_run", " ")))).first()[0] or 1
+    texts = df.select(F.col(key).alias("_key"), F.explode(runs_of_words(F.col(text), most)).alias("_run")).distinct()
+    hits = texts.join(known, "_run")
     best = top(hits, ["_key"], [F.col("kind"), F.length("token").desc(), F.col("token")])
     return df.join(best.select("_key", out), F.col(key) == F.col("_key"), "left").drop("_key")
 
@@ -62,7 +70,7 @@ def phone_country(df: DataFrame, phone: str, key: str, dim: DataFrame, out: str
     codes = top(dim.withColumn("_pin", F.when(F.col("region_key").isin("united_states", "russia"), 0).otherwise(1)), ["phone"], [F.col("_pin"), F.col("region_key")])
     bare = F.replace(F.coalesce(F.col(phone), F.lit("")), F.lit(" "), F.lit(""))
     starts = df.select(F.col(key).alias("_key"), F.explode(F.transform(F.sequence(F.lit(2), F.lit(5)), lambda n: F.substr(bare, F.lit(1), n))).alias("phone")).filter("phone like '+%'").distinct()
-    found = top(starts.join(F.broadcast(codes.select("phone", F.col("region_key").alias(out))), "phone"), ["_key"], [F.length("phone").desc()])
+    found = top(starts.join(codes.select("phone", F.col("region_key").alias(out)), "phone"), ["_key"], [F.length("phone").desc()])
     return df.join(found.select("_key", out), F.col(key) == F.col("_key"), "left").drop("_key")
 
 

@@ -45,7 +45,14 @@ def banded_rank(df: DataFrame, limit: int, tie: str) -> DataFrame:
 
 
 def interleave(df: DataFrame, key: str = "text", lane: str = "lane", pos: str = "pos") -> DataFrame:
-    """Rows of several lanes in turn, each text once; ``place`` orders them."""
+    """Rows of several lanes in turn, each text once; ``place`` orders them.
+
+    Rows are numbered within their turn, and only the turns' sizes, one row each, are summed in order.
+    """
     turn = df.withColumn("_turn", F.row_number().over(Window.partitionBy(lane).orderBy(pos)))
     kept = top(turn, [key], [F.col("_turn"), F.col(lane)])
-    return kept.withColumn("place", F.row_number().over(Window.orderBy("_turn", lane))).select("place", key)
+    sizes = kept.groupBy("_turn").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = kept.join(sizes.select("_turn", before.alias("_before")), "_turn")
+    own = F.row_number().over(Window.partitionBy("_turn").orderBy(lane))
+    return placed.select((F.col("_before") + own).cast("int").alias("place"), key)

@@ -49,8 +49,11 @@ def resolve_websites(results: DataFrame, require_match: bool = False, country: s
 
 
 def backfill_websites(leads: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Leads whose website is blank get that of their company, if one was found; companies are looked up once each."""
-    found = resolved.select(F.col("company").alias("_company"), F.col("website").alias("_website"))
+    """Leads whose website is blank get that of their company, if one was found; companies are looked up once each.
+
+    Of several websites of a company the first in order counts; a lead without a company finds none. No lead is repeated.
+    """
+    found = resolved.groupBy(F.trim("company").alias("_company")).agg(F.min("website").alias("_website"))
     own = F.nullif(F.trim(F.coalesce(F.col("website"), F.lit(""))), F.lit(""))
     joined = leads.join(found, F.trim("company") == F.col("_company"), "left")
     return joined.withColumn("website", F.coalesce(own, "_website", F.lit(""))).drop("_company", "_website")

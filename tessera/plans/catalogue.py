@@ -133,7 +133,7 @@ def facts(docs: DataFrame, most: int = 5) -> DataFrame:
 
 @query("WITH " + SQL["facts_topk"].strip()[5:].replace("SELECT doc_id, fact, conf AS confidence, place::INTEGER AS place FROM t WHERE place <= 5", """
 ,g AS (SELECT doc_id, count(*) AS n, sum(conf ORDER BY place) / count(*) AS a FROM t WHERE place <= 5 GROUP BY 1),
-p AS (SELECT documents.doc_id, coalesce(n, 0) AS n, coalesce(least(100, round_even(a * 70 + least(8 * n, 30), 0))::INTEGER, 0) AS score FROM documents LEFT JOIN g USING (doc_id))
+p AS (SELECT documents.doc_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 0 ELSE least(100, round_even(a * 70 + least(8 * n, 30), 0))::INTEGER END AS score FROM documents LEFT JOIN g USING (doc_id))
 SELECT doc_id, n AS n_facts, score AS personalization_score, CASE WHEN n = 0 THEN 'no_grounded_facts' WHEN score < 55 THEN 'low_personalization_confidence' ELSE '' END AS warnings FROM p"""))
 def personalization(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -412,12 +412,14 @@ def interleave_queries(spark, sf_dir):
     return ranking.interleave(spark.createDataFrame(LANES, "lane int, pos int, text string"))
 
 
-PROFILES = [("Ann", "Acme", "ddgs", 1, "Ann - Sales - Acme | LinkedIn", "works there"), ("Ann", "Acme", "site", 1, "Ann - Sales - Acme | LinkedIn", ""), ("Bob", "Acme", "ddgs", 1, "Bob - Acme", "Bob joined Beta Corp last year"), ("Cy", "Acme", "ddgs", 1, "Cy - Acme", "open to work"), ("Di", "Acmes", "brave", 1, "Di", "Acmes Jan 2020 - Dec 2021"), ("Ed", "Acmes", "brave", 1, "Ed at Acmes", "Acmes Jan 2020 - Present")]
+IN = "https://linkedin.com/in/x"
+PROFILES = [("Ann", "Acme", "ddgs", 1, IN, "Ann - Sales - Acme | LinkedIn", "works there"), ("Ann", "Acme", "site", 1, IN, "Ann - Sales - Acme | LinkedIn", ""), ("Bob", "Acme", "ddgs", 1, IN, "Bob - Acme", "Bob joined Beta Corp last year"), ("Cy", "Acme", "ddgs", 1, IN, "Cy - Acme", "open to work"), ("Di", "Acmes", "brave", 1, IN, "Di", "Acmes Jan 2020 - Dec 2021"), ("Ed", "Acmes", "brave", 1, IN, "Ed at Acmes", "Acmes Jan 2020 - Present"),
+  ("Flo", "Acmes", "ddgs", 1, IN, "Flo - Acmes | LinkedIn", "Acmes " + "x " * 200 + "Beta Jan 2010 - Dec 2012"), ("Gus", "Acmes", "ddgs", 1, IN, "Gus - Sales - Other Firm | LinkedIn", "Jan 2001 - Dec 2002 " + "y " * 150 + "Acmes Jan 2020 - Mar. 2021"), ("Hal", "Acmes", "site", 1, IN, "Hal - Chef - Other Firm | LinkedIn", ""), ("Ida", "Acmes", "ddgs", 1, "https://blog.org", "Ida", "wrote about Acmes")]
 
 
-@query("SELECT * FROM (VALUES ('Ann', true, 'confirmed'), ('Bob', false, 'moved'), ('Cy', false, 'not_employed'), ('Di', false, 'past_dates'), ('Ed', true, 'current_dates')) t(person, is_current, why)")
+@query("SELECT * FROM (VALUES ('Ann', true, 'confirmed'), ('Bob', false, 'moved'), ('Cy', false, 'not_employed'), ('Di', false, 'past_dates'), ('Ed', true, 'current_dates'), ('Flo', true, 'confirmed'), ('Gus', false, 'past_dates'), ('Hal', false, 'site_contradicts'), ('Ida', true, 'confirmed')) t(person, is_current, why)")
 def employment_ladder(spark, sf_dir):
-    df = spark.createDataFrame(PROFILES, "person string, company string, engine string, rank int, title string, snippet string")
+    df = spark.createDataFrame(PROFILES, "person string, company string, engine string, rank int, url string, title string, snippet string")
     return employment.ladder(employment.signals(df)).select("person", "is_current", "why")
 
 
@@ -445,6 +447,23 @@ def structure_pick(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", drafts.structure(F.col("c_name")).cast("bigint").alias("structure"))
 
 
+MAIL = r"""CASE turn % 5 WHEN 0 THEN 'Subject: ' || left(text, 20) || chr(10) || chr(10) || text || chr(10) || chr(10) || 'Second' WHEN 1 THEN left(text, 15) || chr(10) || 'Hello' || chr(10) || chr(10) || text
+  WHEN 2 THEN 'RE: ' || left(text, 12) || chr(10) || text WHEN 3 THEN '  ' || replace(text, chr(10), ' ') ELSE 'a b c d e f g h i j k l m' || chr(10) || chr(10) || text END"""
+@query(rf"""
+WITH m AS (SELECT conv_id, turn, regexp_replace({MAIL}, '^\s+|\s+$', '', 'g') AS t FROM conversations),
+s AS (SELECT *, CASE WHEN contains(t, chr(10) || chr(10)) THEN chr(10) || chr(10) ELSE chr(10) END AS sep FROM m),
+p AS (SELECT *, strpos(t, sep) AS cut FROM s),
+f AS (SELECT *, regexp_replace(left(t, greatest(cut - 1, 0)), '^\s+|\s+$', '', 'g') AS f0, regexp_replace(substr(t, cut + length(sep)), '^\s+|\s+$', '', 'g') AS rest FROM p),
+g AS (SELECT *, regexp_replace(f0, '(?i)^(subject:|re:)\s*', '') AS f1 FROM f)
+SELECT conv_id, turn, CASE WHEN cut = 0 OR len(regexp_split_to_array(f1, '\s+')) > 12 THEN '' ELSE f1 END AS subject, md5(CASE WHEN cut = 0 OR len(regexp_split_to_array(f1, '\s+')) > 12 THEN t ELSE rest END) AS body FROM g""")
+def mail_parts(spark, sf_dir):
+    t, n, line = F.col("text"), F.col("turn") % 5, F.lit("\n")
+    raw = F.when(n == 0, F.concat(F.lit("Subject: "), F.left(t, F.lit(20)), line, line, t, line, line, F.lit("Second"))).when(n == 1, F.concat(F.left(t, F.lit(15)), line, F.lit("Hello"), line, line, t))
+    raw = raw.when(n == 2, F.concat(F.lit("RE: "), F.left(t, F.lit(12)), line, t)).when(n == 3, F.concat(F.lit("  "), F.replace(t, line, F.lit(" ")))).otherwise(F.concat(F.lit("a b c d e f g h i j k l m"), line, line, t))
+    subject, body = drafts.split_subject(F.col("raw"))
+    return table(spark, sf_dir, "conversations").withColumn("raw", raw).select("conv_id", "turn", subject.alias("subject"), F.md5(body).alias("body"))
+
+
 SUBJECTS = [(1, "Subject: Quick idea\n\nHello there\nmore"), (2, "one block only"), (3, "Re: hi\nbody line"), (4, "a b c d e f g h i j k l m\n\nbody"), (5, '"Ideas — for you..."\n\nText'), (6, "  \n")]
 
 
