@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -26,12 +27,23 @@ def small_batches(spark: SparkSession) -> None:
 _worker: dict[str, Any] = {}
 
 
+def release() -> None:
+    """Drop what this worker process remembers and give its free memory back; operators that remember nothing call this as they start."""
+    if _worker.get("released"):
+        return
+    _worker.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not every C library has it
+        trim(0)
+    _worker["released"] = True
+
+
 def remembered(key: str, make: Callable[[], Any]) -> Any:
     """What a worker process keeps from task to task: one thing at a time, so that operators do not add up in its memory."""
     if key not in _worker:
+        release()
         _worker.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
         _worker[key] = make()
     return _worker[key]
 

@@ -140,6 +140,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str =
     kind = pa.list_(pa.struct([(n, pa.float64() if n == "similarity" else pa.int64()) for n in names]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         bench = held.value
         for batch in batches:
             rows = []

@@ -176,6 +176,7 @@ def finely_indexed(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame,
     """Rows (key, node, left, size) of the documents whose ids are in ``ids``: left counts the set's shingles from the key on."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             keys, columns = [np.zeros(0, np.uint64)], [np.zeros((3, 0), np.int64)]
             for node, items in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
@@ -193,6 +194,7 @@ def indexed(docs: DataFrame, id_col: str, text_col: str, shared: Broadcast) -> D
     """Rows (id, n_shingles, digest, first_id, keys): keys are empty where a document repeats the set of ``first_id`` in its task."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         seen: dict[bytes, int] = {}
         for batch in batches:
             ids, sets = batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist())
@@ -210,6 +212,7 @@ def indexed(docs: DataFrame, id_col: str, text_col: str, shared: Broadcast) -> D
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) or (text, id) batches as (id, n, items)."""
+    common.release()
     for batch in batches:
         sets = [s.view(np.int64) for s in shingle_sets(batch.column("text").to_pylist())]
         sizes = np.array([len(s) for s in sets], np.int64)

@@ -103,7 +103,7 @@ class SubwordModel:
 class WordScorer(dict):
     """Remembers, for each word, the sum of its features' values and their number."""
 
-    def __init__(self, values: np.ndarray, grams: tuple[int, ...], limit: int = 150_000):
+    def __init__(self, values: np.ndarray, grams: tuple[int, ...], limit: int = 100_000):
         super().__init__()
         self.values, self.grams, self.limit = values, grams, limit
         self.sums, self.counts, self.pending = np.zeros(0), np.zeros(0), []

@@ -32,7 +32,7 @@ def byte_letters() -> list[str]:
 class CachedEncoder(dict):
     """Maps a piece, which follows a space in its text, to its ids as little-endian 32-bit numbers."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 150_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
