@@ -39,6 +39,17 @@ FREE_PHRASES = ["opentowork", "open to work", "laid off", "looking for", "seekin
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 PROFILE_PATH = "linkedin.com/in"
 
+# How companies name their seat, and whose seat is not theirs.
+SEAT_WORDS = ["based", "headquartered", "headquarters", "headquarter", "head offices", "head office", "hq", "registered", "incorporated"]
+MARKET_WORDS = ["customers?", "clients?", "buyers?", "partners?", "distributors?", "importers?", "resellers?", "companies", "businesses", "firms", "manufacturers", "suppliers", "organi[sz]ations", "enterprises", "brands"]
+# Short words of other languages that are no terms.
+NATIVE_FUNCTION_WORDS = ["pour", "avec", "dans", "sans", "sous", "chez", "leur", "elles", "vers", "para", "como", "sobre", "entre", "desde", "hasta", "unas", "unos", "della", "delle", "degli", "dello", "dalla", "nella", "alla", "eine", "einer", "eines", "einem", "einen", "nach", "über", "unter", "voor", "naar", "deze", "onder", "için", "veya"]
+# Queries for the companies of a region, and what a useful page of a company is called.
+REGION_TEMPLATES = ["{icp} companies in {region}", "list of {icp} in {region}", "top {icp} {region}", "{icp} {region} contact email", "{icp} association {region} members"]
+PAGE_HINTS = ["about", "business-development", "careers", "community", "company", "contact", "developer", "developers", "devrel", "growth", "marketing", "partners", "partnership", "partnerships", "people", "press", "sales", "security", "team"]
+PAGE_SKIPS = ["login", "signin", "sign-up", "signup", "privacy", "terms", "cookie"]
+FILE_ENDS = [".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".pdf", ".zip"]
+
 # Roles of persons, those that are written to first, and the parts of a mail that are not its text.
 ROLES = ["founder", "co-founder", "ceo", "cto", "cfo", "coo", "cpo", "president", "head of [a-z]+", "vp of [a-z]+", "director of [a-z]+", "developer relations", "devrel", "growth", "marketing", "product", "partnerships?", "community", "sales", "business development", "customer success", "recruiting", "talent"]
 TARGET_ROLES = ["market", "partner", "growth", "customer success", "business develop", "developer relat", "devrel", "community", "sales", "account", "outreach", "demand gen", "talent", "recruiting", "people ops"]

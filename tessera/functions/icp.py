@@ -114,3 +114,23 @@ def matched_terms(text: Column, terms: list[str]) -> Column:
 
 def stem_column(c: Column) -> Column:
     return stem(c)
+
+
+def own_terms(phrase: str) -> list[str]:
+    """Words of three letters and more of the phrase that are neither stop words nor generic, in lower case, sorted."""
+    found = (t.lower() for t in re.findall(r"[a-zA-Z0-9][a-zA-Z0-9\-]{2,}", phrase or ""))
+    return sorted({t for t in found if t not in fixed.STOPWORDS and t not in fixed.GENERIC_TERMS})
+
+
+def supported(text: Column, profile: Profile, phrase: str, strong: list[str], weak: list[str], derived: dict[str, list[str]] | None = None) -> dict[str, Column]:
+    """``evidence`` with terms of other languages (strong) and related ones (weak); strong and weak hold the matched terms.
+
+    A core of one required token is confirmed by one strong term or two weak ones as well; a longer one only by its own tokens.
+    """
+    found = evidence(text, profile, derived)
+    core = profile.tokens("core")
+    own = set(core) | set(profile.tokens("qualifier")) | set(own_terms(phrase))
+    terms = lambda given: matched_terms(text, given) if given else F.array().cast("array<string>")
+    by_strong, by_weak = terms(sorted(set(strong))), terms(sorted(set(weak) - set(strong) - own))
+    also = (F.size(by_strong) > 0) | (F.size(by_weak) >= 2) if len(core) < 2 else F.lit(False)
+    return found | {"confirmed": found["confirmed"] | also, "strong": by_strong, "weak": by_weak}

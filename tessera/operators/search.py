@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import contacts, fixed, urls
+from tessera.functions import contacts, fixed, icp, urls
 from tessera.operators.ranking import top
 
 ENGINES = ["ddgs", "brave", "serper", "ddg_html"]
@@ -71,3 +71,56 @@ def merge_pages(base: DataFrame, extra: DataFrame) -> DataFrame:
     bare = F.regexp_replace("url", "/+$", "")
     known = base.select("site", bare.alias("_url")).distinct()
     return base.unionByName(extra.withColumn("_url", bare).join(known, ["site", "_url"], "left_anti").drop("_url"), allowMissingColumns=True)
+
+
+def own_page(url: Column, dom: Column) -> Column:
+    """A page of the company's own site that may name people or ways to reach them: no file, no login, no legal text."""
+    path = F.lower(urls.path(url))
+    holds = lambda parts: F.exists(F.array(*(F.lit(p) for p in parts)), lambda p: F.contains(path, p))
+    own = url.rlike("^https?://[^/?#]") & (urls.domain(url) == dom) & ~urls.blocked_host(urls.authority(url))
+    return F.coalesce(own & holds(fixed.PAGE_HINTS) & ~holds(fixed.FILE_ENDS) & ~holds(fixed.PAGE_SKIPS), F.lit(False))
+
+
+def company_page_urls(results: DataFrame, limit: int) -> DataFrame:
+    """(company, domain, url, place): pages of the first productive query, each once, at most ``limit`` a company.
+
+    ``results`` holds (company, domain, query_place, rank, url).
+    """
+    fit = results.filter(own_page(F.col("url"), F.col("domain")))
+    bare = fit.withColumn("url", F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "/+$", ""))
+    once = top(first_productive(bare, "domain", "query_place"), ["domain", "url"], [F.col("rank"), F.col("company")])
+    placed = once.withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy("rank", "url")))
+    return placed.filter(F.col("place") <= limit).select("company", "domain", "url", "place")
+
+
+def region_queries(spark: SparkSession, profiles: list[tuple[str, str]]) -> DataFrame:
+    """(phrase, region, place, query): the templates, then each core phrase of several words in quotes, per profile."""
+    rows = []
+    for phrase, region in profiles:
+        said, there = (phrase or "").strip(), (region or "").strip()
+        filled = [t.format(icp=said, region=there) for t in fixed.REGION_TEMPLATES] + [f'"{" ".join(c)}" {there}' for c in icp.parse(said).phrases]
+        rows += [(phrase, region, i, q) for i, q in enumerate(filled)]
+    return spark.createDataFrame(rows, "phrase string, region string, place int, query string")
+
+
+def expansion_queries(terms: DataFrame, lexicon: DataFrame, region: str, cap: int = 3) -> DataFrame:
+    """(profile, place, query) for the first ``cap`` terms (profile, term) of each profile: those of the lexicon first, then by name."""
+    known = lexicon.select("term").distinct().withColumn("_known", F.lit(0))
+    wanted = terms.filter(F.coalesce("term", F.lit("")) != "").select("profile", "term").distinct().join(known, "term", "left")
+    placed = wanted.withColumn("place", F.row_number().over(Window.partitionBy("profile").orderBy(F.coalesce("_known", F.lit(1)), "term")))
+    made = placed.filter(F.col("place") <= cap).select("profile", "place", F.concat("term", F.lit(f" companies in {region.strip()}")).alias("query"))
+    return made.filter(F.lit(bool(region.strip())))
+
+
+def result_candidates(results: DataFrame) -> DataFrame:
+    """Companies (company, website, domain, discovery_source_url, discovery_reason) from results (query, url, ...)."""
+    dom = urls.domain(F.col("url"))
+    made = results.filter(credible(F.col("url"))).withColumns({"domain": dom, "company": urls.company_from_domain(dom), "website": F.concat(F.lit("https://"), dom)})
+    return made.withColumn("discovery_reason", F.concat(F.lit("search: "), "query")).withColumnRenamed("url", "discovery_source_url")
+
+
+def discover_by_query(queries: DataFrame, results: DataFrame, limit: int = 50) -> DataFrame:
+    """The first ``limit`` companies that the queries (place, query) find, in the order of queries and ranks, each domain once."""
+    found = result_candidates(cascade(results).join(queries.select("place", "query"), "query"))
+    once = top(found, ["domain"], [F.col("place"), F.col("rank"), F.col("discovery_source_url")])
+    return once.orderBy("place", "rank", "domain").limit(limit).select("company", "website", "domain", "discovery_source_url", "discovery_reason")

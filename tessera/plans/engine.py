@@ -66,26 +66,56 @@ def draft(leads: DataFrame, responses: DataFrame, key: str) -> DataFrame:
     return out.withColumn("generated_email", F.when(failed, "ERROR: no answer").otherwise(F.col("generated_email"))).withColumn("generated_subject", F.when(failed, "").otherwise(F.col("generated_subject"))).drop("raw")
 
 
-def discover(candidates: DataFrame, pages: DataFrame, phrase: str, limit: int, conflict: Column | None = None, max_pages: int = 4) -> DataFrame:
-    """Companies (company, website, domain, and optionally email, phone, region_fit, region_anchor) enriched, scored, classified, ranked."""
+def discover(candidates: DataFrame, pages: DataFrame, phrase: str, limit: int, conflict: Column | None = None, max_pages: int = 4, strong: list[str] | None = None, weak: list[str] | None = None, derived: dict[str, list[str]] | None = None) -> DataFrame:
+    """Companies (company, website, domain, and optionally email, phone, region_fit, region_anchor, verdict, verdict_evidence) enriched, scored,
+    classified, ranked. ``strong``, ``weak`` and ``derived`` are terms that speak for the phrase (``icp.supported``)."""
     keyed = candidates.withColumn("site", urls.normalize_url(F.col("website")))
     rows = keyed.join(enrich(keyed.select("site").distinct(), pages, max_pages), "site", "left").withColumn("place_of", F.lit(0))
     profile = icp.parse(phrase)
     said = F.concat_ws(" ", "company", "company_summary", "personalization_facts")
-    found = icp.evidence(said, profile)
-    rows = rows.withColumns({"icp_score": icp.score(F.col("website_status") == "ok", found, len(profile.tokens("core")), F.lit(0), F.lit(0)), "matched_terms": F.array_join(found["evidenced"], " | "), "confirmed": found["confirmed"]})
-    for c, default in (("email", ""), ("phone", ""), ("linkedin_company_url", ""), ("partnership_channel", ""), ("region_fit", 0), ("region_anchor", False)):
+    found = icp.supported(said, profile, phrase, strong or [], weak or [], derived)
+    rows = rows.withColumns({"icp_score": icp.score(F.col("website_status") == "ok", found, len(profile.tokens("core")), F.size(found["strong"]), F.size(found["weak"])), "matched_terms": F.array_join(F.array_distinct(F.concat(found["evidenced"], found["strong"], found["weak"])), " | "), "confirmed": found["confirmed"]})
+    for c, default in (("email", ""), ("phone", ""), ("linkedin_company_url", ""), ("partnership_channel", ""), ("region_fit", 0), ("region_anchor", False), ("verdict", "unknown"), ("verdict_evidence", "")):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(default))
     rows = rows.withColumn("email_type", F.when(F.col("email") != "", contacts.company_email_kind(F.col("email"))).otherwise(""))
     conflict = conflict if conflict is not None else F.lit(False)
     score, reasons = scores.company_lead(F.lit(True), conflict)
-    level, why = scores.classify(conflict, urls.government(F.col("domain")), urls.aggregator(F.col("domain"), F.col("company_summary")), F.col("confirmed"), F.col("region_anchor"), F.lit("unknown"), F.lit(""))
+    level, why = scores.classify(conflict, urls.government(F.col("domain")), urls.aggregator(F.col("domain"), F.col("company_summary")), F.col("confirmed"), F.col("region_anchor"), F.coalesce("verdict", F.lit("unknown")), F.coalesce("verdict_evidence", F.lit("")))
     scored = rows.withColumns({"lead_score": score, "lead_score_reasons": reasons, "match_confidence": level, "verification": why})
-    return ranking.banded_rank(scored, limit, "domain").drop("place_of", "confirmed")
+    return ranking.banded_rank(scored, limit, "domain").drop("place_of", "confirmed", "verdict", "verdict_evidence")
 
 
 def review(rows: DataFrame) -> DataFrame:
     """How often each warning occurs."""
     parts = F.filter(F.split(F.coalesce("quality_warnings", F.lit("")), r" \| "), lambda w: w != "")
     return rows.select(F.explode(parts).alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
+
+
+def filled(c: str) -> Column:
+    return F.count_if(F.coalesce(F.col(c), F.lit("")) != "")
+
+
+def draft_counts(drafts_: DataFrame) -> DataFrame:
+    """One row: how many mails there are, and how many of them were written."""
+    return drafts_.agg(F.count("*").alias("n_rows"), F.count_if(~F.coalesce("generated_email", F.lit("")).startswith("ERROR:")).alias("n_written"))
+
+
+def company_counts(rows: DataFrame) -> DataFrame:
+    """One row: how many companies have an address, a phone, a profile of their own."""
+    return rows.agg(F.count("*").alias("n_rows"), filled("email").alias("with_email"), filled("phone").alias("with_phone"), filled("linkedin_company_url").alias("with_profile"))
+
+
+def contact_counts(rows: DataFrame) -> DataFrame:
+    """One row: how many leads have an address, and how many were found as profiles."""
+    return rows.agg(F.count("*").alias("n_rows"), filled("email").alias("with_contact"), F.count_if(F.col("contact_type") == "linkedin_profile").alias("from_profiles"))
+
+
+def verification_counts(verified: DataFrame) -> DataFrame:
+    """One row: valid and invalid addresses."""
+    return verified.agg(F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_invalid"))
+
+
+def enriched(leads: DataFrame) -> bool:
+    """Whether leads were prepared before; a table's columns tell."""
+    return "personalization_facts" in leads.columns

@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import urls
@@ -28,6 +28,7 @@ class Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.title, self.meta, self.headings, self.jsonld, self.links = [], {}, [], [], []
+        self.kinds = []  # the class of each link
         self.text, self.main, self.stack = [], [], []
         self.hidden = self.inside = 0
         self.heading = self.ld = self.link = None
@@ -48,7 +49,7 @@ class Reader(HTMLParser):
         if tag == "script" and a.get("type", "").lower() == "application/ld+json":
             self.ld = []
         if tag == "a" and a.get("href"):
-            self.link = (a["href"], [])
+            self.link = (a["href"], [], a.get("class", ""))
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in self.stack:
@@ -70,6 +71,7 @@ class Reader(HTMLParser):
             self.ld = None
         if tag == "a" and self.link:
             self.links.append((self.link[0], " ".join("".join(self.link[1]).split())))
+            self.kinds.append(self.link[2])
             self.link = None
 
     def handle_data(self, data: str) -> None:
@@ -148,19 +150,20 @@ def links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> D
         for batch in batches:
             out = []
             for k, base, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for pos, (href, said) in enumerate(read(page).links):
+                parsed = read(page)
+                for pos, ((href, said), kind) in enumerate(zip(parsed.links, parsed.kinds, strict=True)):
                     try:
                         target = urljoin(base or "", href.strip())
                     except ValueError:
                         continue
-                    out.append((k, base, pos, target, said))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "page_url", "pos", "href", "said"])
+                    out.append((k, base, pos, target, said, kind))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "page_url", "pos", "href", "said", "kind"])
 
     bound_batches(pages)
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(F.col(key).alias("key"), url, html).mapInArrow(run, f"key {kind}, page_url string, pos int, href string, said string")
+    return pages.select(F.col(key).alias("key"), url, html).mapInArrow(run, f"key {kind}, page_url string, pos int, href string, said string, kind string")
 
 
 def candidates(found: DataFrame) -> DataFrame:
@@ -172,6 +175,24 @@ def candidates(found: DataFrame) -> DataFrame:
     return first.select("key", "pos", urls.company_from_anchor(F.col("said"), dom).alias("company"), F.concat(F.lit("https://"), dom).alias("website"), "domain", F.col("page_url").alias("discovery_source_url"))
 
 
+def unwrapped(href: Column, engine: str = "duckduckgo.com") -> Column:
+    """The target of an engine's own redirecting link, which names it in ``uddg``; other links as they are."""
+    target = F.try_url_decode(F.nullif(F.regexp_extract(href, r"[?&]uddg=([^&#]+)", 1), F.lit("")))
+    return F.when(F.contains(urls.authority(href), F.lit(engine)), F.coalesce(target, href)).otherwise(href)
+
+
+def search_results(found: DataFrame, engine: str = "duckduckgo.com") -> DataFrame:
+    """(key, rank, url) of the results on saved search pages, from their links; each url once, without fragment and slashes at the end.
+
+    Links with a class only count if it is a result's; links without words only if they are redirecting ones.
+    """
+    url = F.regexp_replace(F.regexp_replace(unwrapped(F.col("href"), engine), "#.*$", ""), "/+$", "")
+    named = found.withColumn("url", url).filter(F.col("url").rlike("^https?://[^/?#]") & ~F.contains(urls.authority(F.col("url")), F.lit(engine)))
+    kept = named.filter(((F.col("kind") == "") | F.contains("kind", F.lit("result"))) & ((F.col("said") != "") | F.contains("href", F.lit("uddg="))))
+    once = top(kept, ["key", "url"], [F.col("pos")])
+    return once.select("key", F.row_number().over(Window.partitionBy("key").orderBy("pos")).alias("rank"), "url")
+
+
 SKIPPED = r"about|account|advertise|blog|category|contact|cookie|login|privacy|submit|sign-?in|sign-?up|tag|terms"
 DETAIL = r"/(ai|apps?|company|companies|directory|products?|startups?|tools?)/"
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.plans import catalogue
+from tessera.plans import catalogue, lead_queries  # noqa: F401  (registers its queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
