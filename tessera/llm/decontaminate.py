@@ -8,7 +8,8 @@ block's value, and looking up all values within ``BLOCK_RADIUS`` bits of a windo
 without leaving one of them within the radius. Candidates are verified by exact weighted Jaccard similarity.
 
 Windows without a single shingle of the item's size class have similarity zero, so only those with one are
-fingerprinted; that is exact, and leaves most documents after one look at their shingles.
+fingerprinted; that is exact, and leaves most documents after one look at their shingles. For the same reason only items that
+share a shingle with the document are looked up, and windows go by parts of at most ``MOST_CELLS`` windows times eight items.
 
 The benchmark is collected and sent to every task; it must have at most ``MOST_ITEMS`` items and ``MOST_CHARS`` characters,
 else the call raises an error, since cutting it would lose passages.
@@ -35,6 +36,7 @@ from tessera.llm.ngram_join import shingle_rows
 THRESHOLD = 0.8
 BLOCK_RADIUS = 2
 MOST_ITEMS, MOST_CHARS = 100_000, 100_000_000
+MOST_CELLS = 1 << 20
 
 
 def votes(hashes: np.ndarray) -> np.ndarray:
@@ -71,6 +73,12 @@ class Benchmark:
                 for k, value in enumerate(blocks[:, block]):
                     table[block, value ^ self.near, k] = True
             self.tables[n] = np.packbits(table, axis=2)
+        # the items of each known shingle, one after another
+        owners = np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
+        self.owners, self.first = owners[np.argsort(pool, kind="stable")], np.concatenate([[0], np.cumsum(counts)])
+        self.place = np.zeros(len(self.sets), int)
+        for items in self.by_length.values():
+            self.place[items] = np.arange(len(items))
         # shingles that decide which windows are looked at, per length class
         self.of_length = {n: np.unique(np.concatenate([self.sets[i] for i in items])) for n, items in self.by_length.items()}
 
@@ -89,8 +97,15 @@ class Benchmark:
         if not hit.any():
             return []
         weights = np.where(hit, self.weight[at], 1.0)
+        shared = np.unique(np.concatenate([self.owners[self.first[k] : self.first[k + 1]] for k in np.unique(at[hit])]))
         best: dict[int, tuple[float, int, int]] = {}
-        for n, items in self.by_length.items():
+        for n in np.unique(self.lengths[shared]).tolist():
+            items = self.by_length[n]
+            # the bytes of the tables' rows that name an item with a shingle of this document, and those items' bits in them
+            wanted = np.zeros(len(items), bool)
+            wanted[self.place[shared[self.lengths[shared] == n]]] = True
+            bits = np.packbits(wanted)
+            columns = np.flatnonzero(bits)
             here = np.flatnonzero(hit & np.isin(row, self.of_length[n]))
             if not len(here):
                 continue
@@ -100,16 +115,16 @@ class Benchmark:
             np.add.at(marks, np.maximum(here - width + 1, 0), 1)
             np.add.at(marks, here + 1, -1)
             starts = np.flatnonzero(np.cumsum(marks)[: len(row) - width + 1] > 0)
-            for part in np.array_split(starts, -(-len(starts) // 4096)):
+            for part in np.array_split(starts, -(-len(starts) // max(1, min(4096, MOST_CELLS // len(columns))))):
                 lo, hi = int(part[0]), int(part[-1]) + width
                 sums = np.concatenate([np.zeros((1, 64)), np.cumsum(votes(row[lo:hi]) * weights[lo:hi, None], axis=0, dtype=np.float64)])
                 prints = signs(sums[part - lo + width] - sums[part - lo])
                 blocks = prints.astype("<u8").view(np.uint8).reshape(-1, 8)
-                found = self.tables[n][0][blocks[:, 0]]
-                for b in range(1, 8):
-                    found = found | self.tables[n][b][blocks[:, b]]
-                for w, k in zip(*np.nonzero(np.unpackbits(found, axis=1, count=len(items))), strict=True):
-                    item, start = int(items[k]), int(part[w])
+                found = np.zeros((len(part), len(columns)), np.uint8)
+                for b in range(8):
+                    found |= self.tables[n][b][np.ix_(blocks[:, b], columns)]
+                for w, k in zip(*np.nonzero(np.unpackbits(found & bits[columns], axis=1)), strict=True):
+                    item, start = int(items[columns[k // 8] * 8 + k % 8]), int(part[w])
                     s = self.similarity(np.unique(row[start : start + width]), item)
                     if s >= threshold and (item not in best or s > best[item][0]):
                         best[item] = (s, start, width)
