@@ -16,7 +16,10 @@ PLACE_BASED = rf"(\b{MARKET}\W*[\n,;:|]\W*)?\b(\p{{L}}[^\d\n,;:|]{{0,28}}?)[ -]b
 
 
 def seat_phrases(c: Column) -> Column:
-    """Places of 'based in X', in order, then of 'X-based'."""
+    """Places of 'based in X', in order, then of 'X-based'.
+
+    As published, X before '-based' may hold up to 29 characters, so it can reach back into the sentence before.
+    """
     low = F.lower(F.coalesce(c, F.lit("")))
 
     def places(pattern: str) -> Column:
