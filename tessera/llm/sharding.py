@@ -76,12 +76,13 @@ def numbered(rows: DataFrame, key: str, shard: str = "shard", slot: str = "slot"
 def write_shards(docs: DataFrame, path: str, key: str, weights: Sequence[float], files: int = 8) -> DataFrame:
     """Write ``docs`` below ``path`` in a folder ``shard=N`` each, by ``files`` tasks a shard, and return them as stored.
 
-    Rows go to a shard's files by all their columns, so a key with many rows is spread unless its rows are equal.
+    Rows go to a shard's files by all their columns and by where they were read, so a key with many rows is spread, and so
+    are equal rows that come from several parts of the input.
     """
     if "shard" in (c.lower() for c in docs.columns):
         raise ValueError("the table has a column named shard already")
     p = common.free_name(docs, "part")
-    part = F.pmod(F.xxhash64(*docs.columns), F.lit(files))
+    part = F.pmod(F.xxhash64(F.spark_partition_id(), *docs.columns), F.lit(files))
     placed = docs.withColumn("shard", shard_of(F.col(key), weights)).withColumn(p, part)
     placed.repartition("shard", p).drop(p).write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.schema(f"{docs.schema.toDDL()}, shard int").parquet(path)
