@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import collocations, decontaminate, line_dedup, mixing, ngram_join, pii, quality, sharding, tiff, token_store, toxicity, url_filter
+from tessera.llm import collocations, decontaminate, line_dedup, mixing, ngram_join, periodic_runs, pii, quality, sharding, tiff, token_store, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_ids": token_store.op8_token_ids,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_collocations": collocations.op12_collocations,
     "op13_sharding": sharding.op13_sharding,
 }
