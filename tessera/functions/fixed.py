@@ -68,3 +68,9 @@ TRANSPARENT = ["and", "or", "the", "a", "an", "&"]
 # Columns of the written tables.
 COMPANY_COLUMNS = ["email", "name", "company", "website", "match_confidence", "verification", "country", "region_fit", "company_email", "email_type", "phone", "address", "linkedin_company_url", "partnership_channel", "size_tier", "icp_score", "matched_terms", "website_status", "company_summary", "personalization_facts", "source_urls", "personalization_score", "discovery_channel", "discovery_source_url", "discovered_at", "lead_score", "lead_score_reasons", "quality_warnings"]
 PEOPLE_COLUMNS = ["contact_name", "contact_role", "contact_linkedin", "contact_stale_warning"]
+# Beginnings of lines that are furniture of a user interface, as patterns.
+JUNK_LINES = [
+    "skip to", "cookie", "accept all", "sign up", "log ?in", "sign ?in", "get started", "free trial", "subscribe", "download", "menu", "toggle", "©", r"\d+ min ago", "just now", "yesterday",
+    "created the issue", "moved from", "added the label", r"@\w", r"fig \d", "render ", r"thinking\.\.\.", "on it!", "kicked off", "searching for", "locating ", "examining ", r"\$ ", "commit ", "pushed ", "merged ",
+    "activity", "triage ", "codex", "todo", "in progress", "high", "low", "medium", r"cycle \d", "labelscycle", r"project\b",
+]
