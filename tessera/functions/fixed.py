@@ -74,3 +74,10 @@ JUNK_LINES = [
     "created the issue", "moved from", "added the label", r"@\w", r"fig \d", "render ", r"thinking\.\.\.", "on it!", "kicked off", "searching for", "locating ", "examining ", r"\$ ", "commit ", "pushed ", "merged ",
     "activity", "triage ", "codex", "todo", "in progress", "high", "low", "medium", r"cycle \d", "labelscycle", r"project\b",
 ]
+
+# Words in headings of encyclopedia lists whose entries are no active companies, and words of names that are none.
+WIKI_SKIPPED = ["defunct", "former", "closed", "merged", "dissolved", "renamed", "regulator", "regulators", "association", "associations", "see also", "references", "external links", "further reading", "notes", "bibliography"]
+NO_COMPANY = r"(?i)\b(authority|regulator|ministry|commission|federation|institute|academy|index|list of|category|wikipedia|template|portal|see also)\b"
+
+# Beginnings of what stands in a profile's title where a company would and is a role.
+COMMON_ROLES = ["engineer", "developer", "designer", "manager", "director", "analyst", "consultant", "scientist", "architect", "lead", "head", "chief", "vp", "president", "founder", "ceo", "cto", "cfo", "coo", "intern", "associate", "coordinator", "specialist", "strategist", "officer", "advisor", "professor", "researcher", "student", "freelanc"]

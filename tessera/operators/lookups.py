@@ -103,7 +103,7 @@ def region_fit(target: DataFrame) -> DataFrame:
 
 def verify_emails(df: DataFrame, email: str, mx: DataFrame) -> DataFrame:
     """Adds valid and reason: the form first, then the mail server of the domain; unknown domains are given the benefit of the doubt."""
-    servers = mx.select(F.lower("domain").alias("_mx"), "has_mx").distinct()
+    servers = mx.groupBy(F.lower("domain").alias("_mx")).agg(F.bool_or("has_mx").alias("has_mx"))  # of several answers, one with a server
     problem = contacts.format_problem(F.col(email))
     host = F.lower(contacts.email_host(F.trim(F.col(email))))
     joined = df.join(servers, F.when(problem.isNull(), host) == F.col("_mx"), "left")

@@ -546,9 +546,9 @@ WIKI = "== Banks ==\n* [[Alpha Bank|Alpha]] – big\n* ''Beta''<ref>x</ref> (old
 
 @query("SELECT unnest(range(5))::INTEGER AS pos, unnest(['Alpha', 'Beta', 'Gamma', 'Delta', 'Epsilon']) AS name")
 def wiki_names(spark, sf_dir):
-    from tessera.sources import html
+    from tessera.sources import wiki
 
-    return html.names_of_lists(spark.createDataFrame([("list of banks", WIKI)], "key string, text string")).select("pos", "name")
+    return wiki.names(spark.createDataFrame([("list of banks", WIKI)], "key string, text string")).select("pos", "name")
 
 
 @query("""SELECT * FROM (VALUES ('https://acme.com', 'ok', 'Acme builds robot arms for mid-size factories in Europe.', 3), ('https://empty.com', 'fetch_failed', '', 0), ('https://failed.com', 'fetch_failed', '', 0), ('', 'missing', '', 0)) t(site, website_status, company_summary, n_facts)""")

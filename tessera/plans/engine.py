@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import contacts, drafts, fixed, icp, scores, text, urls
 from tessera.operators import lookups, ranking
+from tessera.plans import metrics
 from tessera.sources import html
 
 
@@ -55,9 +56,12 @@ def prepare(leads: DataFrame, pages: DataFrame, mx: DataFrame, max_pages: int =
 
 
 def draft(leads: DataFrame, responses: DataFrame, key: str) -> DataFrame:
-    """Leads with subject, text and warnings of the captured answers (key, raw); an answer that is missing is a row's error."""
+    """Leads with subject, text and warnings of the captured answers (key, raw); an answer that is missing is a row's error.
+
+    Of several answers with one key the first by its text counts, an answer before a missing one.
+    """
     subject, body = drafts.split_subject(F.col("raw"))
-    joined = leads.join(responses.select(key, "raw"), key, "left").withColumns({"generated_subject": drafts.clean_subject(subject), "generated_email": drafts.clean_body(body)})
+    joined = leads.join(responses.groupBy(key).agg(F.min("raw").alias("raw")), key, "left").withColumns({"generated_subject": drafts.clean_subject(subject), "generated_email": drafts.clean_body(body)})
     failed = F.col("raw").isNull()
     facts = F.coalesce("personalization_facts", F.lit("")) if "personalization_facts" in leads.columns else F.lit("")
     before = F.col("quality_warnings") if "quality_warnings" in leads.columns else F.lit("")
@@ -92,28 +96,28 @@ def review(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(parts).alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
 
 
-def filled(c: str) -> Column:
-    return F.count_if(F.coalesce(F.col(c), F.lit("")) != "")
-
-
 def draft_counts(drafts_: DataFrame) -> DataFrame:
-    """One row: how many mails there are, and how many of them were written."""
-    return drafts_.agg(F.count("*").alias("n_rows"), F.count_if(~F.coalesce("generated_email", F.lit("")).startswith("ERROR:")).alias("n_written"))
+    """One row: how many mails there are, and how many of them were written. As all counts, ``metrics`` has them without a further job."""
+    return counted(drafts_, "drafts")
 
 
 def company_counts(rows: DataFrame) -> DataFrame:
     """One row: how many companies have an address, a phone, a profile of their own."""
-    return rows.agg(F.count("*").alias("n_rows"), filled("email").alias("with_email"), filled("phone").alias("with_phone"), filled("linkedin_company_url").alias("with_profile"))
+    return counted(rows, "companies")
 
 
 def contact_counts(rows: DataFrame) -> DataFrame:
     """One row: how many leads have an address, and how many were found as profiles."""
-    return rows.agg(F.count("*").alias("n_rows"), filled("email").alias("with_contact"), F.count_if(F.col("contact_type") == "linkedin_profile").alias("from_profiles"))
+    return counted(rows, "contacts")
 
 
 def verification_counts(verified: DataFrame) -> DataFrame:
     """One row: valid and invalid addresses."""
-    return verified.agg(F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_invalid"))
+    return counted(verified, "verified")
+
+
+def counted(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.agg(*(c.alias(k) for k, c in metrics.figures(kind).items()))
 
 
 def enriched(leads: DataFrame) -> bool:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -205,54 +204,5 @@ def detail_links(found: DataFrame, limit: int = 30) -> DataFrame:
     return top(top(kept, ["key", "target"], [F.col("pos")]), ["key"], [F.col("pos")], limit).select("key", "pos", F.col("target").alias("href"))
 
 
-MARKUP = ((r"(?s)<!--.*?-->|<ref[^>]*/>|<ref.*?</ref>|<[^>]+>", ""), (r"\{\{[^{}]*\}\}", ""), (r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", r"\1"), (r"\[https?://\S+ ([^\]]*)\]", r"\1"), (r"'{2,}", ""), (r"\s+[-–—]\s.*|\s*\(.*", ""))
-
-
-def wiki_name(raw: str) -> str:
-    for pattern, new in MARKUP:
-        raw = re.sub(pattern, new, raw)
-    return " ".join(raw.split()).strip(" *#:;,|")
-
-
-SKIPPED_SECTIONS = {"see also", "references", "external links", "notes", "further reading", "bibliography", "sources"}
-
-
-def wiki_names(wikitext: str | None, most: int = 80) -> list[str]:
-    """Names in bullets, bare links and the first cells of tables, section by section, each once."""
-    found: dict[str, str] = {}
-    skip = row = False
-    for line in (wikitext or "").splitlines():
-        line = line.strip()
-        if m := re.fullmatch(r"=+\s*(.*?)\s*=+", line):
-            skip = m[1].lower() in SKIPPED_SECTIONS
-        elif line.startswith(("{|", "|-")):
-            row = True
-        elif line.startswith("|}"):
-            row = False
-        elif not skip:
-            name = ""
-            if line.startswith("*"):
-                name = wiki_name(line.lstrip("* "))
-            elif row and line.startswith("|"):
-                cell = line[1:].split("||")[0]
-                name, row = wiki_name(re.sub(r"^[^|\[\]]*=[^|]*\|", "", cell)), False
-            elif re.fullmatch(r"\[\[[^\]:]+\]\]", line):
-                name = wiki_name(line)
-            if 2 <= len(name) <= 80:
-                found.setdefault(name.lower(), name)
-    return list(found.values())[:most]
-
-
-def names_of_lists(wiki: DataFrame, key: str = "key", text: str = "text", most: int = 80) -> DataFrame:
-    """Rows (key, pos, name) of list pages."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k, i, n) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, n in enumerate(wiki_names(t, most))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], ["key", "pos", "name"])
-
-    return wiki.select(F.col(key).cast("string"), text).mapInArrow(run, "key string, pos int, name string")
-
-
 def host_of(url: str) -> str:
     return urlsplit(url).netloc

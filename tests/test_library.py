@@ -62,7 +62,6 @@ def test_page_parser():
     assert (row["title"], row["headings"], row["text"], row["status"]) == ("T", ["A"], "A\na\nHello & you\ntwo", "ok")
     assert html.page_row(None)["status"] == "fetch_failed" and html.page_row("<br>")["status"] == "empty"
     assert html.described('{"@graph": [{"name": "Acme", "slogan": " go  on "}]}') == ["go on", "Acme"] and html.described("{") == []
-    assert html.wiki_names("* [[A B|Alpha]] – x\n== References ==\n* Beta") == ["Alpha"]
 
 
 def test_leads_in_and_out(spark, tmp_path):
