@@ -108,7 +108,7 @@ def phrases(words: pa.Array, places: np.ndarray, shortest: int, longest: int, la
 
 
 def explode(docs: DataFrame, shortest: int, longest: int, bits: bytes | None) -> DataFrame:
-    """Rows (lang, words, phrase, n): occurrences of phrases, counted as far as a block goes."""
+    """Rows (lang, phrase, n): occurrences of phrases, counted as far as a block goes."""
     spark = docs.sparkSession
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(bits) if bits is not None else None
@@ -123,10 +123,10 @@ def explode(docs: DataFrame, shortest: int, longest: int, bits: bytes | None) ->
             for lang, texts in by_lang.items():
                 of = xxhash.xxh64_intdigest(lang.encode())
                 for block in blocks(texts):
-                    for n, found, counts in phrases(*tokens(block), shortest, longest, of, kept):
-                        yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(counts), np.int8))), pa.array(np.full(len(counts), n, np.int32)), found.cast(pa.string()), pa.array(counts)], ["lang", "words", "phrase", "n"])
+                    for _, found, counts in phrases(*tokens(block), shortest, longest, of, kept):
+                        yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(counts), np.int8))), found.cast(pa.string()), pa.array(counts)], ["lang", "phrase", "n"])
 
-    return docs.mapInArrow(scan, "lang string, words int, phrase string, n bigint")
+    return docs.mapInArrow(scan, "lang string, phrase string, n bigint")
 
 
 def bits_of(frequent: DataFrame) -> bytes:
@@ -146,9 +146,9 @@ def bits_of(frequent: DataFrame) -> bytes:
 
 
 def counted(docs: DataFrame, max_n: int, min_count: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Tables (lang, words, phrase, f) of all phrases with at least ``min_count`` occurrences, and (lang, n) of all words."""
+    """Tables (lang, phrase, f) of all phrases with at least ``min_count`` occurrences, and (lang, n) of all words."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).alias("text")).filter("length(text) > 0")
-    total = lambda rows: rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"))
+    total = lambda rows: rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     words = common.materialise(total(explode(texts, 1, 1, None)), "phrases-1")
     per_lang = words.groupBy("lang").agg(F.sum("f").alias("n"))
     level, found, done = words.filter(F.col("f") >= min_count), [], 1
@@ -174,13 +174,12 @@ def score(a: Column, n: Column, l: Column, r: Column) -> Column:  # noqa: E741
 def collocations(docs: DataFrame, max_n: int = 5, min_count: int = 100, contained: int = 100, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Rows (lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each language."""
     every, per_lang = counted(docs, max_n, min_count, lang_col, text_col)
-    parts = every.select("lang", "phrase", "f")
-    candidates = every.filter("words > 1").withColumnRenamed("f", "a")
     word = F.split("phrase", " ")
+    candidates = every.withColumn("words", F.size(word)).filter("words > 1").withColumnRenamed("f", "a")
     cut = candidates.select("lang", "phrase", "words", "a", word.alias("w"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cut = cut.select("lang", "phrase", "a", "k", F.array_join(F.slice("w", 1, F.col("k")), " ").alias("first"), F.array_join(F.slice("w", F.col("k") + 1, F.col("words") - F.col("k")), " ").alias("rest"))
-    cut = cut.join(parts.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"])
-    cut = cut.join(parts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
+    cut = cut.join(every.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"])
+    cut = cut.join(every.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
     cut = cut.join(per_lang, "lang").withColumn("score", score(F.col("a"), F.col("n"), F.col("l"), F.col("r")))
     weakest = F.min_by(F.struct("l", "r", "n", "score"), F.struct("score", "k"))
     scored = cut.groupBy("lang", "phrase", "a").agg(weakest.alias("s")).select("lang", "phrase", "a", "s.*")
