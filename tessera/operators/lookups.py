@@ -62,17 +62,20 @@ def runs_of_words(c: Column, most: int) -> Column:
     return let(token_words(c), lambda w: F.array_distinct(F.flatten(F.transform(w, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(w) - i)), lambda n: F.array_join(F.slice(w, i + 1, n), " "))))))
 
 
-def resolve_places(df: DataFrame, text: str, key: str, dim: DataFrame, out: str = "region_key", kinds: int = 3, doubtful: list[str] | None = None) -> DataFrame:
+#: Words of the longest name of a place that is looked for.
+LONGEST_PLACE = 6
+
+
+def resolve_places(df: DataFrame, text: str, key: str, dim: DataFrame, out: str = "region_key", kinds: int = 3, doubtful: list[str] | None = None, longest: int = LONGEST_PLACE) -> DataFrame:
     """Adds the region that the text names: names before demonyms before cities, longer tokens first; null without one.
 
     Regions in ``doubtful`` (names that mean other things as well) only count where the text names no other.
 
-    A token is found where it stands as words of its own: the runs of words of a text meet the tokens by equality, so the
-    dimension may have any size.
+    A token of up to ``longest`` words is found where it stands as words of its own: the runs of words of a text meet the tokens
+    by equality, so the dimension may have any size.
     """
     known = dim.filter(F.col("kind") < kinds).select("token", "kind", F.col("region_key").alias(out), F.array_join(token_words(F.col("token")), " ").alias("_run"))
-    most = known.agg(F.max(F.size(F.split("_run", " ")))).first()[0] or 1
-    texts = df.select(F.col(key).alias("_key"), F.explode(runs_of_words(F.col(text), most)).alias("_run")).distinct()
+    texts = df.select(F.col(key).alias("_key"), F.explode(runs_of_words(F.col(text), longest)).alias("_run")).distinct()
     hits = texts.join(known, "_run")
     best = top(hits, ["_key"], [F.col(out).isin(doubtful or []), F.col("kind"), F.length("token").desc(), F.col("token")])
     return df.join(best.select("_key", out), F.col(key) == F.col("_key"), "left").drop("_key")
@@ -158,9 +161,9 @@ def native_terms(terms: DataFrame, there: DataFrame, back: DataFrame, function_w
 
 def language_terms(terms: DataFrame, dim: DataFrame, region_key: str, most: int = 3) -> DataFrame:
     """(term, lang): every term with the first languages in which business is done in a region."""
-    found = dim.filter(F.col("region_key") == region_key).select("langs").first()  # one region's languages
-    langs = F.array(*(F.lit(x) for x in found[0][:most])) if found and found[0] else F.array().cast("array<string>")
-    return terms.select("term").distinct().select("term", F.explode(langs).alias("lang"))
+    langs = dim.select(F.col("region_key").alias("_region"), F.explode(F.slice("langs", 1, most)).alias("lang"))
+    asked = terms.select("term").distinct().withColumn("_region", F.lit(region_key))
+    return asked.join(langs, "_region").select("term", "lang")
 
 
 def lexicon_terms(tokens: DataFrame, pairs: DataFrame, phrase: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import placed
+
 
 def top(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key; Catalyst limits every task to n rows a key before the shuffle."""
@@ -45,14 +47,12 @@ def banded_rank(df: DataFrame, limit: int, tie: str) -> DataFrame:
 
 
 def interleave(df: DataFrame, key: str = "text", lane: str = "lane", pos: str = "pos") -> DataFrame:
-    """Rows of several lanes in turn, each text once; ``place`` orders them.
+    """Rows of several lanes in turn, each text once; ``place`` orders them. Positions should not repeat within a lane.
 
-    Rows are numbered within their turn, and only the turns' sizes, one row each, are summed in order.
+    Neither a long lane nor a lane's many turns come to one task: places within a lane come from places among all rows.
     """
-    turn = df.withColumn("_turn", F.row_number().over(Window.partitionBy(lane).orderBy(pos)))
+    all_ = placed(df, [F.col(lane), F.col(pos), F.col(key)], "_at")
+    starts = all_.groupBy(lane).agg(F.min("_at").alias("_first"))
+    turn = all_.join(starts, lane).withColumn("_turn", F.col("_at") - F.col("_first"))
     kept = top(turn, [key], [F.col("_turn"), F.col(lane)])
-    sizes = kept.groupBy("_turn").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = kept.join(sizes.select("_turn", before.alias("_before")), "_turn")
-    own = F.row_number().over(Window.partitionBy("_turn").orderBy(lane))
-    return placed.select((F.col("_before") + own).cast("int").alias("place"), key)
+    return placed(kept.select(key, lane, "_turn"), [F.col("_turn"), F.col(lane)]).select(F.col("place").cast("int").alias("place"), key)

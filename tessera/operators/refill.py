@@ -9,28 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import placed
 from tessera.operators.ranking import top
 from tessera.sources.scratch import held
 
 
-def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """Rows numbered from 1 in the given order, which should leave no ties.
-
-    Rows are sorted in ranges; only the sizes of the ranges, one row each, are summed in one place.
-    """
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = df.repartitionByRange(int(parts), *order).withColumn("_part", F.spark_partition_id())
-    ranged = held(ranged, "ranked")  # the bounds of the ranges are drawn from a sample, so they are drawn once
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_part", before.alias("_before"))
-    return ranged.withColumn("_own", inside).join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_before", "_own")
-
-
 def needed(limit: int, passed: int, tested: int) -> int:
     """How many to test next: as many as are missing, two at least. Right where a test costs far more than a job."""
     return max(limit - passed, 2)

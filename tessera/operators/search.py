@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tessera.functions import contacts, fixed, icp, urls
+from tessera.functions.text import strip
 from tessera.operators.ranking import top
 
 ENGINES = ["ddgs", "brave", "serper", "ddg_html"]
@@ -93,14 +98,24 @@ def company_page_urls(results: DataFrame, limit: int) -> DataFrame:
     return placed.filter(F.col("place") <= limit).select("company", "domain", "url", "place")
 
 
-def region_queries(spark: SparkSession, profiles: list[tuple[str, str]]) -> DataFrame:
-    """(phrase, region, place, query): the templates, then each core phrase of several words in quotes, per profile."""
-    rows = []
-    for phrase, region in profiles:
-        said, there = (phrase or "").strip(), (region or "").strip()
-        filled = [t.format(icp=said, region=there) for t in fixed.REGION_TEMPLATES] + [f'"{" ".join(c)}" {there}' for c in icp.parse(said).phrases]
-        rows += [(phrase, region, i, q) for i, q in enumerate(filled)]
-    return spark.createDataFrame(rows, "phrase string, region string, place int, query string")
+def core_phrases(phrases: pd.Series) -> pd.Series:
+    """The core phrases of several words of target profiles."""
+    return phrases.map(lambda p: [" ".join(chunk) for chunk in icp.parse(p or "").phrases])
+
+
+def region_queries(profiles: DataFrame) -> DataFrame:
+    """(phrase, region, place, query) for profiles (phrase, region): the templates, then each core phrase of several words in quotes.
+
+    Null parts are empty in the queries; a profile that comes twice is asked once.
+    """
+    said, there = strip(F.col("phrase")), strip(F.col("region"))
+    filled = []
+    for template in fixed.REGION_TEMPLATES:
+        parts = re.split(r"(\{icp\}|\{region\})", template)
+        filled.append(F.concat(*({"{icp}": said, "{region}": there}.get(p, F.lit(p)) for p in parts)))
+    quoted = F.transform("_core", lambda c: F.concat(F.lit('"'), c, F.lit('" '), there))
+    cut = profiles.select("phrase", "region").distinct().withColumn("_core", F.pandas_udf(core_phrases, ArrayType(StringType()))(said))
+    return cut.select("phrase", "region", F.posexplode(F.concat(F.array(*filled), quoted)).alias("place", "query"))
 
 
 def expansion_queries(terms: DataFrame, lexicon: DataFrame, region: str, cap: int = 3) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import people
+from tessera.functions import fixed
+from tessera.operators import lookups, people, ranking, search
 from tessera.plans import engine, metrics
-from tessera.plans.catalogue import query, table
+from tessera.plans.catalogue import literal, query, table
 from tessera.sources import engines, wiki
 
 # --- lists: forty customers a page, each written in one of ten ways ----------------------------------------------------
@@ -134,3 +135,34 @@ def run_figures(spark, sf_dir):
     drafts = run.watch(engine.draft(leads, answers, "k"), "drafts", **metrics.figures("drafts"), n_warned=F.count_if(F.contains(F.col("quality_warnings"), F.lit("generation_failed"))))
     drafts.write.format("noop").mode("overwrite").save()
     return spark.createDataFrame([tuple(run.of("drafts").values())], "n_rows bigint, n_written bigint, n_warned bigint")
+
+
+# --- queries for regions and languages, and their order -------------------------------------------------------------------------
+
+TEMPLATES_SQL = ", ".join("replace(replace('" + t + "', '{icp}', phrase), '{region}', region)" for t in fixed.REGION_TEMPLATES)
+PHRASE_SQL = "CASE c_custkey % 3 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN lower(c_mktsegment) || ' and wood makers' ELSE 'paper mills for ' || lower(c_mktsegment) END"
+
+
+@query(f"""
+WITH p AS (SELECT DISTINCT {PHRASE_SQL} AS phrase, 'Land ' || c_nationkey AS region FROM customer),
+q AS (SELECT phrase, region, [{TEMPLATES_SQL}] || CASE WHEN contains(phrase, ' and ') THEN ['"' || replace(phrase, ' and ', ' ') || '" ' || region] WHEN contains(phrase, ' for ') THEN ['"paper mills" ' || region] ELSE [] END AS l FROM p)
+SELECT phrase, region, (unnest(range(len(l))))::INTEGER AS place, unnest(l) AS query FROM q""")
+def queries_by_region(spark, sf_dir):
+    return search.region_queries(table(spark, sf_dir, "customer").selectExpr(f"{PHRASE_SQL} AS phrase", "'Land ' || c_nationkey AS region"))
+
+
+LANGS = [(r[0], i, lang) for r in lookups.region_rows() for i, lang in enumerate(r[3][:2])]
+
+
+@query(f"""WITH l AS (SELECT lang FROM {literal(LANGS, "region_key, i, lang")} WHERE region_key = 'switzerland') SELECT DISTINCT p_name AS term, lang FROM part, l""")
+def terms_by_language(spark, sf_dir):
+    return lookups.language_terms(table(spark, sf_dir, "part").select(F.col("p_name").alias("term")), lookups.regions(spark), "switzerland", 2)
+
+
+@query("""
+WITH t AS (SELECT source, doc_id, left(text, 12) AS said, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents),
+f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY said ORDER BY turn, source) = 1)
+SELECT row_number() OVER (ORDER BY turn, source)::INTEGER AS place, said AS text FROM f""")
+def interleaved_sources(spark, sf_dir):
+    """A lane for each source of the documents, one of which has most of them."""
+    return ranking.interleave(table(spark, sf_dir, "documents").select("source", "doc_id", F.substring("text", 1, 12).alias("text")), "text", "source", "doc_id")

@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import cooldown, lexicon, lookups, refill, translation
+from tessera.operators import cooldown, lexicon, lookups, ordering, ranking, refill, search, translation
 from tessera.sources import maintext
 from tessera.streaming import cooldown as streamed
 
@@ -54,10 +54,35 @@ def test_refill_of_nothing_and_places(spark):
     assert found.rows.count() == 0 and found.tested == 0 and set(found.rows.columns) == {"k", "n", "place"}
     numbers = list(range(500))
     random.Random(2).shuffle(numbers)
-    placed = refill.placed(spark.createDataFrame([(n,) for n in numbers], "n int").repartition(7), [F.desc("n")]).collect()
+    placed = ordering.placed(spark.createDataFrame([(n,) for n in numbers], "n int").repartition(7), [F.desc("n")]).collect()
     assert sorted((r.place, r.n) for r in placed) == [(i + 1, 499 - i) for i in range(500)]
 
 
+def test_running_totals_and_lanes(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(-5, 9)) for i in range(400)]
+    got = ordering.totals_before(spark.createDataFrame(rows, "k int, v int").repartition(6), [F.col("k")], F.col("v"), "t").collect()
+    assert sorted((r.k, r.t) for r in got) == [(k, sum(v for _, v in rows[:k])) for k in range(400)]
+    lanes = [(lane, pos, f"t{rng.randrange(60)}") for lane in ("a", "b", "c") for pos in range(rng.randrange(5, 50))]
+    want, seen = [], set()
+    for turn in range(50):
+        for lane in ("a", "b", "c"):
+            mine = [r for r in lanes if r[0] == lane]
+            if turn < len(mine) and mine[turn][2] not in seen:
+                seen.add(mine[turn][2])
+                want.append(mine[turn][2])
+    df = spark.createDataFrame(lanes, "lane string, pos int, text string").repartition(3)
+    assert [r.text for r in ranking.interleave(df).orderBy("place").collect()] == want
+    assert [r.place for r in ranking.interleave(df).orderBy("place").collect()] == list(range(1, len(want) + 1))
+
+
+def test_queries_of_regions(spark):
+    rows = spark.createDataFrame([("Wood pulp traders for SMEs", " Peru "), ("timber", None), ("timber", None)], "phrase string, region string")
+    got = {(r.phrase, r.place): r.query for r in search.region_queries(rows).collect()}
+    assert len(got) == 11 and got[("Wood pulp traders for SMEs", 5)] == '"wood pulp traders" Peru' and got[("Wood pulp traders for SMEs", 1)] == "list of Wood pulp traders for SMEs in Peru"
+    assert got[("timber", 0)] == "timber companies in "
+
+
 # --- failure memory ------------------------------------------------------------------------------------------------------
 
 
