@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
+from tessera.llm.sharding import CRC, CRC_TABLE
 
 PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
 #: Words compared one by one before hashes are used.
@@ -211,3 +212,22 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: The same by comparing every two equal words of a document: stretches at each distance, without those inside a run of a shorter period.
+ORACLE = rf"""
+WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes, {CRC_TABLE} AS crc_table FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, ({CRC})::BIGINT AS h FROM h),
+p AS (SELECT doc_id, w, n, h, CASE WHEN n > 0 THEN (h // 10) % n END AS a, CASE WHEN n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) END AS p FROM g),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM p),
+o AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+e AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e) t GROUP BY doc_id, q, k HAVING count(*) + q >= greatest({SHORTEST}, 2 * q)),
+r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.doc_id = s.doc_id AND z.q < s.q AND z.s <= s.s AND z.s + z.l >= s.s + s.l)),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id),
+m AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, s, q) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+c AS (SELECT o.doc_id, string_agg(o.word, ' ' ORDER BY o.i) AS kept FROM o LEFT JOIN gone ON gone.doc_id = o.doc_id AND gone.i = o.i WHERE gone.i IS NULL GROUP BY o.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, m.s::BIGINT AS start, m.l::BIGINT AS length, m.q::BIGINT AS period, (1000 * m.l // m.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""

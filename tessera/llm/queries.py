@@ -20,4 +20,4 @@ QUERIES = {
     "op13_sharding": sharding.op13_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op12_collocations": collocations.ORACLE, "op13_sharding": sharding.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op11_periodic_runs": periodic_runs.ORACLE, "op12_collocations": collocations.ORACLE, "op13_sharding": sharding.ORACLE}
