@@ -47,6 +47,20 @@ def enrich(sites: DataFrame, pages: DataFrame, max_pages: int = 4) -> DataFrame:
     )
 
 
+def contact_pages(sites: DataFrame, pages: DataFrame, most: int = 5, paths: list[str] | None = None) -> DataFrame:
+    """(site, page, url, and the columns of a parsed page) of the first ``most`` paths that may name people or addresses, as far as captured.
+
+    Paths stand at the root of a site, wherever its address points; a site without a usable address has no pages.
+    """
+    base = urls.normalize_url(F.coalesce("site", F.lit("")))
+    origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+    asked = F.array(*(F.concat(origin, F.lit(p)) for p in (paths if paths is not None else fixed.CONTACT_PATHS)[:most]))
+    wanted = sites.select("site").distinct().filter(origin != "").select("site", F.posexplode(asked).alias("page", "url"))
+    bare = F.regexp_replace("url", "/+$", "")
+    captured = wanted.withColumn("bare", bare).join(pages.groupBy(bare.alias("bare")).agg(F.min("html").alias("html")), "bare")
+    return html.parse_pages(captured, ["site", "page", "url"]).filter("status = 'ok'")
+
+
 def prepare(leads: DataFrame, pages: DataFrame, mx: DataFrame, max_pages: int = 4) -> DataFrame:
     """Leads with their site's enrichment and the verification of their address; each site is read once."""
     keyed = leads.withColumn("site", urls.normalize_url(F.coalesce("website", F.lit(""))))

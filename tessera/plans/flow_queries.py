@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed
-from tessera.operators import employment, people
+from tessera.operators import employment, people, seeds
 from tessera.plans import engine
 from tessera.plans.catalogue import SIGNAL, query, table
 
@@ -120,3 +120,43 @@ def contacts_of_customers(spark, sf_dir):
     home = c.select("site", F.lit(0).alias("page"), F.col("site").alias("url"), F.expr("CASE kind WHEN 0 THEN 'write to info@' || dom || ' or jane.doe@' || dom WHEN 1 THEN 'our founder: Jane Miller' WHEN 3 THEN 'me@gmail.com' ELSE 'x' END").alias("text"))
     second = c.filter("kind IN (2, 4)").select("site", F.lit(1).alias("page"), F.expr("site || CASE kind WHEN 2 THEN '/contact' ELSE '/team' END").alias("url"), F.expr("CASE kind WHEN 4 THEN 'for the press: press@' || dom ELSE 'call us' END").alias("text"))
     return people.site_contact(home.union(second)).select("site", "contact_type", "email", "name", "source_url")
+
+
+@query(f"""
+WITH c AS ({BASE}),
+p(page, path) AS (SELECT unnest(range(5)), unnest(['', '/about', '/contact', '/team', '/founders']))
+SELECT site, page::INTEGER AS page, site || path AS url, 'Page ' || page || ' of ' || k AS text FROM c, p WHERE (k + page) % 3 > 0""")
+def contact_crawl(spark, sf_dir):
+    c = customers(spark, sf_dir)
+    paths = F.array(*map(F.lit, fixed.CONTACT_PATHS))
+    pages = c.select("site", "k", F.posexplode(paths).alias("page", "path")).withColumn("html", F.expr("CASE (k + page) % 3 WHEN 0 THEN '' ELSE '<main><p>Page ' || page || ' of ' || k || '</p></main>' END"))
+    found = engine.contact_pages(c.select("site"), pages.select(F.concat("site", "path", F.lit("/")).alias("url"), "html"))
+    return found.select("site", "page", "url", "text")
+
+
+# --- seeds of a model, and profiles of companies -----------------------------------------------------------------------
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k FROM customer),
+r AS (SELECT k, 'company' AS kind, unnest(range(3)) AS pos, unnest(['Alpha ' || k, 'Beta', 'Gamma ' || (k % 7)]) AS name FROM c WHERE k % 4 < 3
+      UNION ALL SELECT k, 'directory', 0, 'Chamber ' || k FROM c WHERE k % 4 < 3)
+SELECT k AS profile, kind, pos::INTEGER AS pos, name FROM r""")
+def model_seeds(spark, sf_dir):
+    raw = F.expr("""CASE k % 4 WHEN 0 THEN '```json\n{"companies": [" Alpha ' || k || '", "Beta", 5, "", null, "BETA", "Gamma ' || (k % 7) || '"], "local_directories": ["Chamber ' || k || '", {}]}\n```'
+      WHEN 1 THEN 'Sure: {"companies": ["Alpha ' || k || '", "Beta", "Gamma ' || (k % 7) || '"], "local_directories": ["Chamber ' || k || '"], "more": {"x": 1}} as asked.' WHEN 2 THEN '{"local_directories": ["Chamber ' || k || '"], "companies": ["Alpha ' || k || '", "Beta", "beta", "Gamma ' || (k % 7) || '"]}'
+      ELSE 'No { such thing' END""")
+    return seeds.seeds(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).select(F.col("k").alias("profile"), raw.alias("raw")))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_custkey % 5 AS way FROM customer)
+SELECT 'Firm ' || k || ' Ltd' AS company, CASE way WHEN 0 THEN 'https://linkedin.com/company/own' || k WHEN 1 THEN 'https://www.linkedin.com/company/firm-' || k WHEN 2 THEN CASE WHEN k > 9 THEN 'https://de.linkedin.com/company/f' || k ELSE '' END ELSE '' END AS profile FROM c""")
+def profiles_of_customers(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_custkey % 5 AS way", "'Firm ' || c_custkey || ' Ltd' AS company", "'f' || c_custkey || '.com' AS domain")
+    # way 3 fits only beyond the results that are looked at, way 4 has other companies and persons
+    urls_ = F.expr("""CASE way WHEN 1 THEN array('https://x.com', 'https://www.linkedin.com/company/other-name', 'https://www.linkedin.com/company/firm-' || k || '?x=1') WHEN 2 THEN array('https://de.linkedin.com/company/f' || k || '/about')
+      WHEN 3 THEN array('a', 'b', 'c', 'd', 'e', 'https://www.linkedin.com/company/firm-' || k) WHEN 4 THEN array('https://www.linkedin.com/in/firm-' || k, 'https://www.linkedin.com/company/nobody') ELSE array('https://www.linkedin.com/company/firm-' || k) END""")
+    results = c.select("company", "domain", F.posexplode(urls_).alias("rank", "url"))
+    own = c.select("company", "domain", F.expr("CASE way WHEN 0 THEN 'https://linkedin.com/company/own' || k ELSE '' END").alias("profile"))
+    return people.company_profiles(own, results).select("company", "profile")

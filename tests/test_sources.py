@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import lookups, people
+from tessera.operators import lookups, people, seeds
 from tessera.plans import engine, metrics
 from tessera.sources import engines, wiki
 
@@ -149,3 +149,26 @@ def test_a_domain_with_two_answers_gives_a_lead_once(spark):
     mx = spark.createDataFrame([("a.com", True), ("A.com", False), ("b.com", False), ("b.com", False)], "domain string, has_mx boolean")
     got = lookups.verify_emails(spark.createDataFrame([("x@a.com",), ("x@b.com",), ("x@c.com",)], "email string"), "email", mx).collect()
     assert sorted((r.email, r.valid) for r in got) == [("x@a.com", True), ("x@b.com", False), ("x@c.com", True)]
+
+
+def test_seeds_of_broken_answers(spark):
+    rows = [("a", None), ("b", "no"), ("c", "{}"), ("d", '{"companies": "X", "local_directories": 5}'), ("e", '{"companies": [["x"], {"n": 1}, true, "Y", " y ", "Z"]}'), ("f", '{"companies": ["late"]}'), ("f", '{"companies": ["early"]}'), ("g", '{"companies": [' + ",".join(f'"c{i}"' for i in range(50)) + "]}")]
+    got = seeds.seeds(spark.createDataFrame(rows, "profile string, raw string")).collect()
+    assert sorted((r.profile, r.pos, r.name) for r in got if r.profile < "g") == [("e", 0, "Y"), ("e", 1, "Z"), ("f", 0, "early")]
+    assert [r.pos for r in got if r.profile == "g"] == list(range(30))
+
+
+def test_prompts_name_what_is_wanted(spark):
+    profiles = spark.createDataFrame([("p", " wood ", "Peru"), ("q", None, None)], "profile string, phrase string, region string")
+    related = spark.createDataFrame([("p", t) for t in "ihgfedcba"] + [("p", " "), ("p", None), ("p", "a")], "profile string, term string")
+    got = {r.profile: r.prompt for r in seeds.prompts(profiles, related).collect()}
+    assert "Industry wanted: wood\nCountry or region: Peru\nWords for the same industry: a, b, c, d, e, f, g, h\n" in got["p"] and "Words for" not in got["q"]
+    found = spark.createDataFrame([("p", "directory", 0, "Chamber"), ("p", "company", 0, "X")], "profile string, kind string, pos int, name string")
+    assert [r.query for r in seeds.directory_queries(found, profiles).collect()] == ["Chamber Peru"]
+
+
+def test_contact_pages_of_odd_sites(spark):
+    pages = spark.createDataFrame([("https://a.com/", "<p>home of a</p>"), ("https://a.com/", "<p>again</p>"), ("https://a.com/about", ""), ("https://a.com/team", None), ("https://a.com/contact", "<p>call</p>"), ("https://a.com/press", "<p>beyond</p>")], "url string, html string")
+    sites = spark.createDataFrame([("a.com/shop/x",), ("a.com/shop/x",), (None,), ("",), ("https://",)], "site string")
+    got = [(r.site, r.page, r.url, r.text) for r in engine.contact_pages(sites, pages).orderBy("page").collect()]
+    assert got == [("a.com/shop/x", 0, "https://a.com", "again"), ("a.com/shop/x", 2, "https://a.com/contact", "call")]
