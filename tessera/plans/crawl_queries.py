@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed
-from tessera.operators import cooldown, lexicon, lookups, refill, translation
+from tessera.operators import cooldown, expansion, lexicon, lookups, refill, translation
 from tessera.plans.catalogue import CUT, PLACES, STEM, inside, literal, query, table
 from tessera.sources import html, maintext
 
@@ -156,3 +156,43 @@ def localized_facts(spark, sf_dir):
     shown = F.contains(F.lower(F.concat_ws(" ", "summary", "facts")), F.lit("tion"))
     found = translation.localize(rows, shown, said.union(other), ["facts"], ["summary"])
     return found.select("id", F.md5("summary").alias("summary_md5"), F.md5("facts").alias("facts_md5"), "localized", shown.alias("confirmed"))
+
+
+# --- related terms of profiles, from lexicon, model and answers ----------------------------------------------------------
+
+TERM = "[a-z]{5,}"
+
+
+@query(rf"""
+WITH v AS (SELECT conv_id * 100 + turn AS profile, regexp_extract_all(lower(text), '{TERM}') AS w FROM conversations),
+p AS (SELECT profile, w[1 : 3] AS tokens, w[1] || ' ' || w[2] AS chunk FROM v WHERE len(w) >= 3),
+o AS (SELECT DISTINCT profile, unnest(tokens) AS token FROM p),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '{TERM}') AS w FROM documents),
+r AS (SELECT min(doc_id) AS doc_id, w[1] AS term FROM d WHERE len(w) >= 8 GROUP BY w[1]),
+e AS (SELECT r.term, d.w, unnest(['ml', 'rel_trg']) AS rel FROM r JOIN d USING (doc_id)),
+x AS (SELECT term, rel, i - 2 AS pos, w[CASE rel WHEN 'ml' THEN i ELSE 10 - i END] AS word FROM e, range(2, 9) t(i) WHERE i <> 4),
+rel AS (SELECT * FROM x WHERE word IS NOT NULL AND word NOT IN {inside(fixed.GENERIC_TERMS + lexicon.SAY_NOTHING)} QUALIFY row_number() OVER (PARTITION BY term, rel, word ORDER BY pos) = 1),
+lex AS (SELECT profile, t.token, t.token || ' works' AS term FROM o t WHERE length(token) % 2 = 0),
+mdl AS (SELECT profile, 'model ' || tokens[1] AS term FROM p),
+every AS (
+  SELECT profile, term, 0 AS source, term AS a, 0 AS c FROM lex UNION ALL SELECT profile, term, 1, term, 0 FROM mdl
+  UNION ALL SELECT o.profile, word, CASE rel.rel WHEN 'ml' THEN 2 ELSE 4 END, o.token, pos FROM o JOIN rel ON rel.term = o.token),
+f AS (SELECT * FROM every WHERE (profile, term) NOT IN (SELECT (profile, token) FROM o) QUALIFY row_number() OVER (PARTITION BY profile, term ORDER BY source, a, c) = 1),
+s AS (SELECT profile, term, token FROM lex UNION SELECT o.profile, word, o.token FROM o JOIN rel ON rel.term = o.token AND rel.rel = 'ml'),
+k AS (SELECT profile, term, string_agg(DISTINCT token, ',' ORDER BY token) AS tokens FROM s GROUP BY ALL)
+SELECT f.profile, row_number() OVER (PARTITION BY f.profile ORDER BY source, a, c, f.term)::INTEGER AS place, f.term, source, coalesce(k.tokens, '') AS tokens FROM f LEFT JOIN k ON k.profile = f.profile AND k.term = f.term QUALIFY place <= 6""")
+def grouped_expansion(spark, sf_dir):
+    words = F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), 1)
+    profiles = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("profile"), words.alias("w")).filter("size(w) >= 3")
+    profiles = profiles.select("profile", F.slice("w", 1, 3).alias("tokens"), F.array(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))).alias("chunks"))
+    own = profiles.select("profile", F.explode("tokens").alias("token")).distinct()
+    spoken = own.filter("length(token) % 2 = 0").select("profile", "token", F.concat("token", F.lit(" works")).alias("term"))
+    model = profiles.select("profile", F.concat(F.lit("Model "), F.get("tokens", F.lit(0))).alias("term"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).filter("size(w) >= 8")
+    first = docs.groupBy(F.get("w", F.lit(0)).alias("term")).agg(F.min_by("w", "doc_id").alias("w"))
+    # each answer names seven words, of which the third is everyday language, and ends with what is no word
+    item = lambda n, i: F.concat(F.lit('{"word": "'), F.get("w", n), F.lit('", "tags": ["f:x", "f:'), F.lit("99.5" if i == 2 else "1.5"), F.lit('"]}'))
+    listed = lambda order: F.concat(F.lit("["), F.concat_ws(", ", *(item(F.lit(n), i) for i, n in enumerate(order))), F.lit(', {"word": "x1"}, 5]'))
+    answers = first.select("term", F.lit("ml").alias("rel"), listed(range(1, 8)).alias("raw")).union(first.select("term", F.lit("rel_trg"), listed(range(7, 0, -1))))
+    found = expansion.grouped(profiles, spoken, model, expansion.related_words(answers, lexicon.geography(lookups.places(spark))), 6)
+    return found.select("profile", "place", "term", "source", F.array_join("tokens", ",").alias("tokens"))

@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import cooldown, lexicon, lookups, ordering, ranking, refill, search, translation
+from tessera.operators import cooldown, expansion, lexicon, lookups, ordering, ranking, refill, search, translation
 from tessera.sources import maintext
 from tessera.streaming import cooldown as streamed
 
@@ -343,3 +343,27 @@ def test_profiles_in_another_language(spark):
 
 def test_patterns_of_junk_lines_are_valid():
     assert re.compile("|".join(maintext.fixed.JUNK_LINES))
+
+
+# --- expansion -----------------------------------------------------------------------------------------------------------------
+
+
+def test_related_words_are_good_and_rare(spark):
+    raw = '[{"word": " Pulp ", "tags": ["n", "f:2.5"]}, {"word": "day", "tags": ["f:300"]}, {"word": "pulp"}, {"word": "brazil"}, {"word": "milling", "tags": ["f:bad"]}, {"tags": []}, "x"]'
+    answers = [("paper", "ml", raw), ("paper", "rel_trg", "{}"), ("", "ml", raw), ("mill", "ml", None), ("mill", "other", raw), ("mill", "ml", "[broken")]
+    got = expansion.related_words(spark.createDataFrame(answers, "term string, rel string, raw string"), lexicon.geography(lookups.places(spark))).collect()
+    assert sorted((r.term, r.rel, r.pos, r.word) for r in got) == [("paper", "ml", 0, "pulp"), ("paper", "ml", 4, "milling")]
+
+
+def test_expansion_by_trust_and_for_whom_it_speaks(spark):
+    profiles = spark.createDataFrame([("p", ["paper", "mill"], ["paper mill"]), ("q", ["coffee"], []), ("r", [], None)], "profile string, tokens array<string>, chunks array<string>")
+    spoken = spark.createDataFrame([("p", "paper", "pulp mill"), ("p", None, "board"), ("p", "mill", "paper")], "profile string, token string, term string")
+    model = spark.createDataFrame([("p", "Board"), ("p", "cellulose"), ("q", None)], "profile string, term string")
+    related = [("paper", "ml", 0, "pulp"), ("mill", "ml", 0, "milling"), ("mill", "ml", 1, "pulp"), ("paper", "rel_trg", 0, "ink"), ("paper mill", "ml", 0, "noise"), ("paper mill", "rel_trg", 0, "ink"), ("coffee", "rel_trg", 0, "urn")]
+    got = expansion.grouped(profiles, spoken, model, spark.createDataFrame(related, "term string, rel string, pos int, word string")).collect()
+    assert sorted((r.profile, r.place, r.term, r.tokens) for r in got) == [
+        ("p", 1, "board", []), ("p", 2, "pulp mill", ["paper"]), ("p", 3, "cellulose", []), ("p", 4, "milling", ["mill"]), ("p", 5, "pulp", ["mill", "paper"]), ("p", 6, "noise", []), ("p", 7, "ink", []), ("q", 1, "urn", []),
+    ]
+    assert {r.profile for r in expansion.grouped(profiles, spoken, model, spark.createDataFrame(related, "term string, rel string, pos int, word string"), 2).filter("place > 2").collect()} == set()
+    keys = spark.createDataFrame([(["b", "a"], ["c", "a", "b", "c"]), (["a", "b"], [])], "core array<string>, others array<string>").select(expansion.profile_key(F.col("core"), F.col("others")).alias("k")).collect()
+    assert [r.k for r in keys] == ["b a//c", "a b//"]
