@@ -8,6 +8,7 @@ from tessera.functions import fixed
 from tessera.operators import employment, people, seeds
 from tessera.plans import engine
 from tessera.plans.catalogue import SIGNAL, query, table
+from tessera.sources import organisations
 
 # --- sites and their pages: six ways to answer -------------------------------------------------------------------------
 
@@ -160,3 +161,27 @@ def profiles_of_customers(spark, sf_dir):
     results = c.select("company", "domain", F.posexplode(urls_).alias("rank", "url"))
     own = c.select("company", "domain", F.expr("CASE way WHEN 0 THEN 'https://linkedin.com/company/own' || k ELSE '' END").alias("profile"))
     return people.company_profiles(own, results).select("company", "profile")
+
+
+# --- structured data of organisations --------------------------------------------------------------------------------------
+
+ORG_HTML = """CASE way WHEN 0 THEN '<script type="application/ld+json">{"@graph": [{"name": " "}, {"name": "Firm ' || k || ' Ltd", "email": "mailto:Hi@' || dom || '", "telephone": "+49 30 90' || (k + 10000) || '", "address": {"streetAddress": "Main ' || k || '", "postalCode": ' || (k + 10000) || ', "addressCountry": {"name": "DE"}}, "sameAs": ["https://x.com/f' || k || '?a=b", 5, "https://de.linkedin.com/company/firm-' || k || '/about"]}]}</script><a href="mailto:HI@' || dom || '?x=1">m</a>'
+  WHEN 1 THEN '<script type="application/ld+json">no json</script><a href="mailto:two@other.org">m</a><a href="tel:0301 ' || (k + 10000) || '">t</a><a href="/partners#x">p</a><p>text@' || dom || '</p>'
+  WHEN 2 THEN '<p>Write to Me@' || dom || ' or you@' || dom || ' or x@other.org</p><a href="https://www.facebook.com/f' || k || '?r=1">f</a>'
+  WHEN 3 THEN '<script type="application/ld+json">[{"name": "List ' || k || '", "address": " Street ' || k || ' ", "sameAs": "https://youtube.com/c' || k || '"}, 7]</script>' ELSE NULL END"""
+
+
+@query(f"""
+WITH c AS (SELECT k, k % 5 AS way, site, substr(site, 9) AS dom FROM ({BASE}))
+SELECT site, CASE way WHEN 0 THEN 'Firm ' || k || ' Ltd' WHEN 3 THEN 'List ' || k ELSE '' END AS name, CASE way WHEN 0 THEN 'Main ' || k || ', ' || (k + 10000) || ', DE' WHEN 3 THEN 'Street ' || k ELSE '' END AS address,
+  CASE way WHEN 0 THEN 'hi@' || dom WHEN 1 THEN 'two@other.org' WHEN 2 THEN 'me@' || dom || ',you@' || dom || ',late@' || dom ELSE 'late@' || dom END AS emails,
+  CASE way WHEN 0 THEN '+493090' || (k + 10000) WHEN 1 THEN '0301' || (k + 10000) ELSE '' END AS phones,
+  CASE way WHEN 0 THEN 'https://x.com/f' || k || ',https://de.linkedin.com/company/firm-' || k WHEN 2 THEN 'https://www.facebook.com/f' || k WHEN 3 THEN 'https://youtube.com/c' || k ELSE '' END AS socials,
+  CASE way WHEN 0 THEN 'https://de.linkedin.com/company/firm-' || k ELSE '' END AS profile, CASE way WHEN 1 THEN site || '/partners' ELSE '' END AS partner_page FROM c""")
+def organisation_contacts(spark, sf_dir):
+    c = customers(spark, sf_dir).withColumns({"way": F.col("k") % 5, "dom": F.substring("site", 9, 1 << 30)})
+    home = c.select("site", F.lit(0).alias("page"), F.col("site").alias("url"), F.expr(ORG_HTML).alias("html"))
+    # the second page has an address as a link where the first has one in its text or none at all
+    second = c.filter("way > 1").select("site", F.lit(1), F.concat("site", F.lit("/contact")), F.expr("'<a href=\"mailto:late@' || dom || '\">m</a><p>never@' || dom || '</p>'"))
+    joined = lambda n: F.array_join(n, ",").alias(n)
+    return organisations.contact_bundle(home.union(second)).select("site", "name", "address", joined("emails"), joined("phones"), joined("socials"), "profile", "partner_page")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import lookups, people, seeds
 from tessera.plans import engine, metrics
-from tessera.sources import engines, wiki
+from tessera.sources import engines, organisations, wiki
 
 
 def tables_of(lines):
@@ -172,3 +172,20 @@ def test_contact_pages_of_odd_sites(spark):
     sites = spark.createDataFrame([("a.com/shop/x",), ("a.com/shop/x",), (None,), ("",), ("https://",)], "site string")
     got = [(r.site, r.page, r.url, r.text) for r in engine.contact_pages(sites, pages).orderBy("page").collect()]
     assert got == [("a.com/shop/x", 0, "https://a.com", "again"), ("a.com/shop/x", 2, "https://a.com/contact", "call")]
+
+
+def test_contacts_from_structured_data_links_and_text(spark):
+    ld = lambda x: f'<script type="application/ld+json">{x}</script>'
+    first = ld('{"@graph":[{"name":" "},{"name":"A Ltd","email":"mailto:Hi@a.com","telephone":"+49 30 901820","address":{"streetAddress":"Main 1","postalCode":12345,"addressCountry":{"name":"DE"}},"sameAs":["https://x.com/a?b=1",5,"https://de.linkedin.com/company/a-ltd/about"]}]}') + ld("no json")
+    rows = [
+        ("https://a.com", 0, "https://a.com", first + "<a href='mailto:HI@a.com?x'>m</a><a href='MAILTO:two@b.org'>m</a><a href='tel:030 901820'>t</a><a href='/partners#x'>p</a>"),
+        ("https://a.com", 1, "https://a.com/about", ld('[{"name":"Other","address":" Street 5 "}, 7]') + "<a href='https://facebook.com/a'>f</a><p>other@a.com</p>"),
+        ("https://b.com", 0, "https://b.com", "<p>x@other.org</p>"), ("https://b.com", 1, "https://b.com/c", "<p>Me@b.com you@b.com</p>"), ("https://b.com", 2, "https://b.com/d", "<p>late@b.com</p><a href='mailto:z@z.com'>z</a>"),
+        ("https://c.com", 0, "https://c.com", None), ("https://c.com", 0, "https://c.com", None), ("https://d.com", 0, "https://d.com", ld("{}") + ld('{"@graph": {}, "name": 5, "email": "none", "sameAs": null, "address": []}')),
+    ]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "site string, page int, url string, html string, name string")
+    got = {r.site: tuple(r)[1:] for r in organisations.contact_bundle(df).collect()}
+    assert got["https://a.com"] == ("A Ltd", "Main 1, 12345, DE", ["hi@a.com", "two@b.org"], ["+4930901820", "030901820"], ["https://x.com/a", "https://de.linkedin.com/company/a-ltd", "https://facebook.com/a"], "https://de.linkedin.com/company/a-ltd", "https://a.com/partners")
+    assert got["https://b.com"] == ("", "", ["me@b.com", "you@b.com", "z@z.com"], [], [], "", "")
+    assert got["https://c.com"] == got["https://d.com"] == ("", "", [], [], [], "", "")
+    assert organisations.contact_bundle(df.limit(0)).count() == 0
