@@ -113,3 +113,20 @@ def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     if n <= limit:
         return df
     return df.filter(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 40)) < int(limit / n * (1 << 40))).limit(2 * limit)
+
+
+#: Most bytes of text, about, that a model is fitted on.
+SAMPLE_BYTES = 256 << 20
+
+
+def bounded_texts(df: DataFrame, limit: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """The rows of a sample already joined with ``doc_id`` and ``text``: all if they are at most ``limit`` with at most ``most_bytes``
+    of text, else those whose id and text hash low enough to leave about as much, and never more than twice ``limit`` rows.
+
+    A sample of ids is no bound by itself, since each row of a repeated id comes along.
+    """
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = min(1.0, limit / max(n, 1), most_bytes / max(size, 1))
+    if share == 1:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.lit(13), "doc_id", "text"), F.lit(1 << 40)) < int(share * (1 << 40))).limit(2 * limit)

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 from tessera.llm.word_features import subwords
 
-#: About how many labelled documents, at most, are learned from: those whose ids have the smallest hashes.
+#: About how many labelled documents, at most, are learned from: those whose ids have the smallest hashes. Of repeated ids about
+#: twice as many rows, and of all about ``common.SAMPLE_BYTES`` of text.
 SAMPLE_DOCS = 3_000
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4)
 #: What one pooled bigram counts for, in features: about those of a word.
@@ -139,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     """Learn from documents outside the held-out fold; repeated ids count as their rows say."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & (common.fold(F.col("doc_id")) != 0))
     picked = common.bounded_sample(known, "doc_id", limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "label", "text").select("text", "label").collect()
+    texts = common.bounded_texts(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), 2 * limit)
+    rows = texts.orderBy("doc_id", "label", "text").select("text", "label").collect()
     return SubwordModel().fit([r.text or "" for r in rows], [r.label for r in rows])
 
 

@@ -6,7 +6,8 @@ class prior ``pi``, the risk of calling unlabelled text clean is corrected for t
     risk = pi * mean_P loss(+) + max(0, mean_U loss(-) - pi * mean_P loss(-))
 
 and where the corrected part turns negative the step goes against it, as the estimator's authors propose. Training is
-full-batch Adam in numpy over at most about ``SAMPLE_TOXIC`` and ``SAMPLE_UNLABELLED`` texts; buckets seen in fewer than
+full-batch Adam in numpy over at most about ``SAMPLE_TOXIC`` and ``SAMPLE_UNLABELLED`` texts (of repeated ids twice as many rows, of
+each kind ``common.SAMPLE_BYTES``); buckets seen in fewer than
 ``LEAST`` toxic texts, or whose uses are toxic by less than ``SHARE`` as the prior and both samples say, keep weight
 zero; the others stay at zero or above. The prior is the toxic share among all labelled rows outside the held-out fold.
 
@@ -112,9 +113,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", n_toxic: int
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & (common.fold(F.col("doc_id")) != 0))
     prior = known.agg(F.avg("label")).first()[0] or 0.0
     picked = common.bounded_sample(known.filter("label = 1").select("doc_id").distinct(), "doc_id", n_toxic)
-    toxic = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("toxic", F.lit(True))
+    texts = docs.select("doc_id", "text")
+    toxic = common.bounded_texts(texts.join(F.broadcast(picked), "doc_id"), 2 * n_toxic).withColumn("toxic", F.lit(True))
     others = common.bounded_sample(docs.select("doc_id").filter(common.fold(F.col("doc_id")) != 0), "doc_id", n_unlabelled).distinct()
-    unlabelled = docs.select("doc_id", "text").join(F.broadcast(others), "doc_id").withColumn("toxic", F.lit(False))
+    unlabelled = common.bounded_texts(texts.join(F.broadcast(others), "doc_id"), 2 * n_unlabelled).withColumn("toxic", F.lit(False))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -63,3 +63,20 @@ def test_bounded_sample(spark):
     df = spark.range(5000)
     assert common.bounded_sample(df, "id", 6000).count() == 5000
     assert 700 < common.bounded_sample(df, "id", 1000).count() < 1300
+
+
+def test_repeated_ids_do_not_unbind_the_sample(spark):
+    docs = spark.range(5000).selectExpr("if(id < 4800, 7, id) AS doc_id", "concat('text ', id) AS text")
+    all_rows = common.bounded_texts(docs, 5000)
+    assert all_rows.count() == 5000
+    assert 50 < common.bounded_texts(docs, 100).count() <= 200
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    assert 300 < common.bounded_texts(docs, 5000, size // 10).count() < 700
+    same = spark.range(5000).selectExpr("CAST(NULL AS long) AS doc_id", "CAST(NULL AS string) AS text")
+    assert common.bounded_texts(same, 100).count() <= 200
+    assert common.bounded_texts(docs.limit(0), 100).count() == 0
+    labels = spark.createDataFrame([(7, 1, 1), (4801, 0, 0), (4803, 1, 0)], "doc_id long, quality int, toxic int")
+    a, b = (quality.train(docs, labels, limit=10).compact() for _ in range(2))
+    assert (a[0] == b[0]).all() and a[1] == b[1]
+    weights, bias = toxicity.train(docs, labels, n_toxic=10, n_unlabelled=10)
+    assert np.isfinite(weights).all() and np.isfinite(bias)
