@@ -62,3 +62,28 @@ def sendable(drafts: DataFrame) -> DataFrame:
     """Drafts with an address and a text that is no error."""
     text = F.coalesce("generated_email", F.lit(""))
     return drafts.filter((F.coalesce("email", F.lit("")) != "") & (text != "") & ~text.startswith("ERROR:"))
+
+
+def lead_report(leads: DataFrame, allow_missing_email: bool = False, on_missing: str = "drop") -> DataFrame:
+    """One row about a lead table before a run: rows without an address or website, how many go on, and what stands in the way (empty: nothing)."""
+    blank = lambda c: strip(F.coalesce(F.col(c), F.lit(""))) == "" if c in leads.columns else F.lit(True)
+    has_website = "website" in leads.columns
+    goes_on = ~blank("website") if has_website and on_missing == "drop" else F.lit(True)
+    counts = leads.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(blank("email")).alias("no_email"), F.count_if(blank("website")).alias("no_website"), F.count_if(goes_on).alias("n_kept"))
+    stop = F.when(F.lit(not allow_missing_email) & (F.col("no_email") > 0), "missing_email").when(F.col("n_kept") == 0, "no_rows_left").otherwise("")
+    return counts.withColumns({"has_website": F.lit(has_website), "problem": stop, "n_kept": F.when(stop == "", F.col("n_kept")).otherwise(0)})
+
+
+def contactable(rows: DataFrame) -> DataFrame:
+    """Companies with an address."""
+    return rows.filter(F.coalesce("email", F.lit("")) != "")
+
+
+def issues(rows: DataFrame) -> DataFrame:
+    """(label, email, score, warnings) of rows that need a look: their warnings, and that their text could not be written."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
+    given = lambda c: F.nullif(c, F.lit(""))
+    failed = F.when(text("generated_email").startswith("ERROR:"), "generation_failed")
+    warned = F.concat_ws(" | ", given(text("quality_warnings")), failed)
+    label = F.coalesce(given(display_name(text("name"), text("first_name"), text("last_name"))), text("email"))
+    return rows.select(label.alias("label"), text("email").alias("email"), F.coalesce(given(text("personalization_score")), F.lit("n/a")).alias("score"), warned.alias("warnings")).filter("warnings <> ''")

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import urls
+from tessera.functions import fixed, urls
+from tessera.functions.text import squish
 from tessera.operators.ranking import top
 
 HIDDEN = {"script", "style", "noscript", "nav", "footer", "header", "aside", "form", "svg"}
@@ -197,11 +198,16 @@ DETAIL = r"/(ai|apps?|company|companies|directory|products?|startups?|tools?)/"
 
 
 def detail_links(found: DataFrame, limit: int = 30) -> DataFrame:
-    """Pages of the same site that may describe one company, at most ``limit`` a page."""
-    path = F.lower(urls.path(F.col("href")))
-    own = urls.domain(F.col("href")) == urls.domain(F.col("page_url"))
-    kept = found.filter(own & path.rlike(DETAIL) & ~path.rlike(SKIPPED)).withColumn("target", F.regexp_replace(F.substring_index("href", "#", 1), "/+$", ""))
-    return top(top(kept, ["key", "target"], [F.col("pos")]), ["key"], [F.col("pos")], limit).select("key", "pos", F.col("target").alias("href"))
+    """Pages of the same site that may describe one company, at most ``limit`` a page: by their path, or by words of the link that
+    say more than an invitation to click. Query and fragment are left out, the scheme is that of the page."""
+    href, base = F.col("href"), F.col("page_url")
+    path, said = F.lower(urls.path(href)), squish(F.coalesce("said", F.lit("")))
+    own = href.rlike("(?i)^https?://[^/?#]") & (urls.domain(href) == urls.domain(base))
+    worth = path.rlike(DETAIL) | ((F.length(said) >= 2) & ~said.rlike(fixed.CALL_TO_ACTION))
+    kept = found.filter(own & ~path.isin("", "/") & ~path.rlike(SKIPPED) & worth)
+    target = F.regexp_replace(F.concat(F.regexp_extract(base, "^([^:/?#]+)://", 1), F.lit("://"), urls.authority(href), urls.path(href)), "/+$", "")
+    once = top(kept.withColumn("target", target), ["key", "target"], [F.col("pos")])
+    return top(once, ["key"], [F.col("pos")], limit).select("key", "pos", F.col("target").alias("href"))
 
 
 def host_of(url: str) -> str:
