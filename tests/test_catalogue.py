@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.plans import catalogue, crawl_queries, flow_queries, harvest_queries, lead_queries, source_queries  # noqa: F401  (registers its queries)
+from tessera.plans import catalogue, crawl_queries, flow_queries, harvest_queries, lead_queries, run_queries, source_queries  # noqa: F401  (registers its queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
