@@ -37,10 +37,10 @@ def search_answers(spark, sf_dir):
     return search.cascade(shown, NUM).select("query", "engine", "rank", "url")
 
 
-HITS = [(0, 1, "https://www.linkedin.com/company/firm{k}", 3), (0, 2, "https://news{k}.org/a", 2), (0, 3, "https://late{k}.org", 2), (1, 1, "https://www.firm{k}.io/x", 1), (2, 1, "https://firm{k}.de", 1)]
+HITS = [(0, 1, "https://www.linkedin.com/company/firm{k}", 3), (0, 2, "https://newsroom.org/{k}", 2), (0, 3, "https://later.org/{k}", 2), (1, 1, "https://www.firm{k}.io/x", 1), (2, 1, "https://firm{k}.de", 1)]
 
 
-@query("""SELECT 'Firm ' || c_custkey AS company, 'https://' || CASE c_custkey % 3 WHEN 0 THEN 'firm' || c_custkey || '.io' ELSE 'news' || c_custkey || '.org' END AS website, false AS in_de FROM customer WHERE c_custkey % 3 < 2
+@query("""SELECT 'Firm ' || c_custkey AS company, 'https://' || CASE c_custkey % 3 WHEN 0 THEN 'firm' || c_custkey || '.io' ELSE 'newsroom.org' END AS website, false AS in_de FROM customer WHERE c_custkey % 3 < 2
   UNION ALL SELECT 'Firm ' || c_custkey, 'https://firm' || c_custkey || '.de', true FROM customer WHERE c_custkey % 3 = 0""")
 def resolved_sites(spark, sf_dir):
     hits = crossed(spark, customers(spark, sf_dir), HITS, "query_place, rank, url, until").filter("k % 3 < until")
