@@ -38,7 +38,8 @@ class CachedEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.model, self.letters = self.tokenizer.model, dict(enumerate(byte_letters()))
+        self.parts: dict[str, bytes] = {}  # words that stand without a space before them: marks, line ends, what follows them
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(WORDS)
         self.marks = {m: self.whole(m) for m in MARKS}
@@ -48,16 +49,28 @@ class CachedEncoder(dict):
 
     def word(self, spelled: str) -> bytes:
         """The ids of one word of the tokenizer's own split."""
-        spelled = "".join([self.letters[b] for b in spelled.encode()])
+        spelled = spelled.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
+    def part(self, word: str) -> bytes:
+        """The ids of a word from what is known already, else from the model."""
+        if word[0] == " " and word[1:].isalpha():
+            return self[word[1:]]
+        if (ids := self.parts.get(word)) is None:
+            ids = self.word(word)
+            if len(word) <= 16:
+                self.parts[word] = ids
+        return ids
+
     def __missing__(self, piece: str) -> bytes:
         if piece.isalpha():  # a space and letters are one word for the model
             ids = array("I", [t.id for t in self.model.tokenize("Ġ" + piece)]).tobytes() if piece.isascii() else self.word(" " + piece)
         elif piece[-1:] in self.marks and piece[:-1].isalpha():  # the letters, then the mark
-            ids = self[piece[:-1]] + self.marks[piece[-1]]
+            return self[piece[:-1]] + self.marks[piece[-1]]
         else:
-            ids = b"".join([self.word(w) for w in self.split.findall(" " + piece)])
+            ids = b"".join([self.part(w) for w in self.split.findall(" " + piece)])
+            if "\n" in piece:  # the end of a line and the beginning of the next: seldom seen again
+                return ids
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -67,10 +80,11 @@ class CachedEncoder(dict):
             return b""
         if any(s in text for s in self.special):
             return self.whole(text)
-        if len(self) > self.limit:
+        if len(self) + len(self.parts) > self.limit:
             self.clear()
+            self.parts.clear()
         if RUN.search(text) or text[0].isspace() or text[-1].isspace():
             first, *rest = SAFE.split(text)
         else:
             first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.__getitem__, rest))
+        return (self.part(first) if first.isalpha() else self.whole(first)) + b"".join(map(self.__getitem__, rest))

@@ -31,6 +31,16 @@ def test_cached_words_equal_whole_texts():
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t[:80])
 
 
+def test_words_at_line_ends_are_looked_up():
+    """Words around line ends are encoded once, as others are, and joined pieces that seldom return are not kept."""
+    encoder, plain = CachedEncoder(T.tokenizer_path()), Tokenizer.from_file(T.tokenizer_path())
+    asked, word = [], encoder.word
+    encoder.word = lambda w: asked.append(w) or word(w)
+    text = " ".join(f"{a}.\n{b}" for a in ("one", "Straße", "three") for b in ("Four", "fünf", "six"))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) and not any("\n" in piece for piece in encoder)
+
+
 def test_store_equals_the_tokenizer(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice([*TEXTS, None, f"doc {i} has words"])) for i in range(300)] + [(None, "null id"), (5, "again"), (5, "again")]
