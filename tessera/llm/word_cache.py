@@ -30,19 +30,26 @@ def byte_letters() -> list[str]:
 
 
 class CachedEncoder(dict):
-    """Maps a piece, which follows a space in its text, to its ids as little-endian 32-bit numbers."""
+    """Maps a piece, which follows a space in its text, to its ids as little-endian 32-bit numbers.
 
-    def __init__(self, path: str, limit: int = 150_000):
+    There are two generations: what is asked for moves to the young one, and when that is full it becomes the old one, whose pieces
+    that nobody asked for since are dropped. So words in use stay. Each generation has at most half of ``limit`` entries and ``most_bytes``.
+    """
+
+    def __init__(self, path: str, limit: int = 400_000, most_bytes: int = 128 << 20):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.most_bytes = Tokenizer.from_file(path), limit, most_bytes
         self.model, self.letters = self.tokenizer.model, dict(enumerate(byte_letters()))
+        self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of the young generation, about
         self.parts: dict[str, bytes] = {}  # words that stand without a space before them: marks, line ends, what follows them
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(WORDS)
         self.marks = {m: self.whole(m) for m in MARKS}
+        self.line_end = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -63,26 +70,38 @@ class CachedEncoder(dict):
         return ids
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isalpha():  # a space and letters are one word for the model
-            ids = array("I", [t.id for t in self.model.tokenize("Ġ" + piece)]).tobytes() if piece.isascii() else self.word(" " + piece)
-        elif piece[-1:] in self.marks and piece[:-1].isalpha():  # the letters, then the mark
-            return self[piece[:-1]] + self.marks[piece[-1]]
-        else:
-            ids = b"".join([self.part(w) for w in self.split.findall(" " + piece)])
-            if "\n" in piece:  # the end of a line and the beginning of the next: seldom seen again
-                return ids
+        if piece[-1:] in self.marks and (word := piece[:-1]).isalpha():  # the letters, then the mark
+            return self[word] + self.marks[piece[-1]]
+        if (ids := self.old.get(piece)) is None:
+            if piece.isalpha():  # a space and letters are one word for the model
+                ids = array("I", [t.id for t in self.model.tokenize("Ġ" + piece)]).tobytes() if piece.isascii() else self.word(" " + piece)
+            elif "\n" in piece:  # the end of a line and the beginning of the next: seldom seen again
+                head, _, tail = piece.partition("\n")
+                if head and tail.isalpha():
+                    return self[head] + self.line_end + self.part(tail)
+                return b"".join([self.part(w) for w in self.split.findall(" " + piece)])
+            else:
+                ids = b"".join([self.part(w) for w in self.split.findall(" " + piece)])
         if len(piece) <= 64:
             self[piece] = ids
+            self.held += 200 + 2 * len(piece) + len(ids)
         return ids
 
+    def turn(self) -> None:
+        """Make room when the young generation is full."""
+        if len(self) > self.limit // 2 or self.held > self.most_bytes // 2:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+        if len(self.parts) > self.limit // 4:
+            self.parts.clear()
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
             return self.whole(text)
-        if len(self) + len(self.parts) > self.limit:
-            self.clear()
-            self.parts.clear()
+        self.turn()
         if RUN.search(text) or text[0].isspace() or text[-1].isspace():
             first, *rest = SAFE.split(text)
         else:

@@ -41,6 +41,22 @@ def test_words_at_line_ends_are_looked_up():
     assert len(asked) == len(set(asked)) and not any("\n" in piece for piece in encoder)
 
 
+def test_words_in_use_stay_when_the_cache_is_full():
+    """A word that every text has is encoded once, however many others pass by; what is held stays bounded."""
+    encoder, plain = CachedEncoder(T.tokenizer_path(), limit=40), Tokenizer.from_file(T.tokenizer_path())
+    asked, word = [], encoder.word
+    encoder.word = lambda w: asked.append(w) or word(w)
+    for i in range(200):
+        text = f"x Straße w{i} q{i} fünf.\nÖl und z{i}"
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(encoder) + len(encoder.old) <= 60 and len(encoder.parts) <= 20
+    assert asked.count(" Straße") == asked.count(" fünf") == 1
+    small = CachedEncoder(T.tokenizer_path(), most_bytes=4000)
+    for i in range(300):
+        small.encode(f"some {i} words {'ab' * (i % 20)}")
+        assert small.held < 4000
+
+
 def test_store_equals_the_tokenizer(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice([*TEXTS, None, f"doc {i} has words"])) for i in range(300)] + [(None, "null id"), (5, "again"), (5, "again")]
