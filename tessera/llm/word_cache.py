@@ -15,7 +15,6 @@ from array import array
 import numpy as np
 import regex
 
-RUN = re.compile(r"\s\s")
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 MARKS = ".,;:!?"
 #: Fixed value: the published word pattern of byte-level BPE.
@@ -29,6 +28,10 @@ def byte_letters() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
+class NotCut(Exception):
+    """A piece that borders on further white space, so that the text must not be cut there."""
+
+
 class CachedEncoder(dict):
     """Maps a piece, which follows a space in its text, to its ids as little-endian 32-bit numbers.
 
@@ -36,7 +39,7 @@ class CachedEncoder(dict):
     that nobody asked for since are dropped. So words in use stay. Each generation has at most half of ``limit`` entries and ``most_bytes``.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, most_bytes: int = 128 << 20):
+    def __init__(self, path: str, limit: int = 1_000_000, most_bytes: int = 256 << 20):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -71,18 +74,28 @@ class CachedEncoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if piece[-1:] in self.marks and (word := piece[:-1]).isalpha():  # the letters, then the mark
-            return self[word] + self.marks[piece[-1]]
+            ids = self[word] + self.marks[piece[-1]]
+            if len(word) < 9:  # short ones return often
+                self[piece] = ids
+                self.held += 200 + 2 * len(piece) + len(ids)
+            return ids
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise NotCut
+        return self.made(piece)
+
+    def made(self, piece: str) -> bytes:
+        """The ids of a piece that the young generation does not have."""
         if (ids := self.old.get(piece)) is None:
             if piece.isalpha():  # a space and letters are one word for the model
                 ids = array("I", [t.id for t in self.model.tokenize("Ġ" + piece)]).tobytes() if piece.isascii() else self.word(" " + piece)
             elif "\n" in piece:  # the end of a line and the beginning of the next: seldom seen again
                 head, _, tail = piece.partition("\n")
-                if head and tail.isalpha():
+                if head and tail.isalpha() and not head[-1].isspace():
                     return self[head] + self.line_end + self.part(tail)
                 return b"".join([self.part(w) for w in self.split.findall(" " + piece)])
             else:
                 ids = b"".join([self.part(w) for w in self.split.findall(" " + piece)])
-        if len(piece) <= 64:
+        if len(piece) <= 64 and not piece[-1].isspace():
             self[piece] = ids
             self.held += 200 + 2 * len(piece) + len(ids)
         return ids
@@ -93,7 +106,7 @@ class CachedEncoder(dict):
             self.old = dict(self)
             self.clear()
             self.held = 0
-        if len(self.parts) > self.limit // 4:
+        if len(self.parts) > self.limit // 8:
             self.parts.clear()
 
     def encode(self, text: str) -> bytes:
@@ -102,8 +115,12 @@ class CachedEncoder(dict):
         if any(s in text for s in self.special):
             return self.whole(text)
         self.turn()
-        if RUN.search(text) or text[0].isspace() or text[-1].isspace():
+        first, *rest = text.split(" ")
+        try:
+            if not first or first[-1].isspace():
+                raise NotCut
+            ids = b"".join(map(self.__getitem__, rest))
+        except NotCut:
             first, *rest = SAFE.split(text)
-        else:
-            first, *rest = text.split(" ")
-        return (self.part(first) if first.isalpha() else self.whole(first)) + b"".join(map(self.__getitem__, rest))
+            ids = b"".join([self[piece] if piece in self else self.made(piece) for piece in rest])
+        return (self.part(first) if first.isalpha() else self.whole(first)) + ids

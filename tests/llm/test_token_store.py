@@ -57,6 +57,34 @@ def test_words_in_use_stay_when_the_cache_is_full():
         assert small.held < 4000
 
 
+def test_a_large_vocabulary_stays_in_the_cache():
+    """350,000 words that all return are encoded once each."""
+    encoder = CachedEncoder(T.tokenizer_path())
+    model, asked = encoder.model, []
+
+    class Counting:
+        def tokenize(self, word):
+            asked.append(word)
+            return model.tokenize(word)
+
+    encoder.model = Counting()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f"{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters[:20]][:350_000]
+    for _ in range(2):
+        for i in range(0, len(words), 500):
+            encoder.encode("x " + " ".join(words[i : i + 500]))
+    assert len(asked) <= len(words) + 1
+
+
+def test_pieces_at_white_space_are_not_reused_wrongly():
+    """What was kept of one text is right in all others, whatever white space stands around it."""
+    encoder, plain = CachedEncoder(T.tokenizer_path()), Tokenizer.from_file(T.tokenizer_path())
+    rng = random.Random(5)
+    for _ in range(4000):
+        t = "".join(rng.choice(["a", "bc.", "d", " ", " ", " ", "\n", "\t", ",", "\u00a0", "\x1c", "'s", "7"]) for _ in range(rng.randrange(14)))
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_store_equals_the_tokenizer(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice([*TEXTS, None, f"doc {i} has words"])) for i in range(300)] + [(None, "null id"), (5, "again"), (5, "again")]
