@@ -130,6 +130,11 @@ def page_row(html: str | None) -> dict:
     return {"title": " ".join("".join(r.title).split()), "description": description, "headings": headings, "jsonld": [t for raw in r.jsonld[:5] for t in described(raw)], "text": body, "status": status}
 
 
+def only_amp(html: str) -> Column:
+    """A page in which ``&amp;`` is the only character reference; of all others, whole or cut off, the ``&`` is a plain sign."""
+    return F.regexp_replace(html, "&(?!amp;)", "&amp;")
+
+
 def parse_pages(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """The columns ``keep``, and title, description, headings, jsonld, text and status of each page; null html is a failed fetch."""
 
