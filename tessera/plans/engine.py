@@ -57,7 +57,8 @@ def contact_pages(sites: DataFrame, pages: DataFrame, most: int = 5, paths: list
     asked = F.array(*(F.concat(origin, F.lit(p)) for p in (paths if paths is not None else fixed.CONTACT_PATHS)[:most]))
     wanted = sites.select("site").distinct().filter(origin != "").select("site", F.posexplode(asked).alias("page", "url"))
     bare = F.regexp_replace("url", "/+$", "")
-    captured = wanted.withColumn("bare", bare).join(pages.groupBy(bare.alias("bare")).agg(F.min("html").alias("html")), "bare")
+    # both sides have a row for each path, which Spark's estimate of their size leaves out; neither may be broadcast
+    captured = wanted.withColumn("bare", bare).hint("merge").join(pages.groupBy(bare.alias("bare")).agg(F.min("html").alias("html")), "bare")
     return html.parse_pages(captured, ["site", "page", "url"]).filter("status = 'ok'")
 
 

@@ -3,6 +3,7 @@
 import duckdb
 
 import __spark_entry__
+from tessera.plans import engine
 
 
 def both(spark, folder, name, **tables):
@@ -22,3 +23,13 @@ def test_page_titles_resolve_amp_alone(spark, tmp_path):
     pages = [(i, f"https://a.example/{i}", f"<html><head><title>{t}</title></head><body><p>x &quot;</p></body></html>") for i, t in enumerate(titles)]
     got, want = both(spark, tmp_path, "page_titles", pages=("page_id long, url string, html string", pages))
     assert got == want
+
+
+def test_contact_pages_are_never_broadcast(spark):
+    # sites and pages are small as tables, and several times as large with a row for each path
+    sites = spark.range(50).selectExpr("concat('https://s', id, '.com') AS site")
+    pages = sites.selectExpr("concat(site, '/contact/') AS url", "'<main><p>Write to us.</p></main>' AS html")
+    found = engine.contact_pages(sites, pages)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    assert found.count() == 50
