@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed, urls
-from tessera.functions.text import squish, strip
+from tessera.functions.text import let, squish, strip
 
 EMAIL = r"(?i)([A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,})"
 PERSON_LOCAL = r"^[a-z]+([._\-][a-z]+)?$"
@@ -101,10 +101,13 @@ def company_tokens(name: Column) -> Column:
 
 def domain_fits_company(dom: Column, name: Column) -> Column:
     """The domain's first label and the name contain one another, or the label holds a token of four and more."""
-    label, tokens = F.lower(urls.first_label(dom)), company_tokens(name)
-    compact = F.array_join(tokens, "")
-    fits = F.contains(label, compact) | F.contains(compact, label) | F.exists(tokens, lambda t: (F.length(t) >= 4) & F.contains(label, t))
-    return (F.size(tokens) > 0) & (label != "") & fits
+
+    def compared(label: Column, tokens: Column) -> Column:
+        compact = F.array_join(tokens, "")
+        fits = F.contains(label, compact) | F.contains(compact, label) | F.exists(tokens, lambda t: (F.length(t) >= 4) & F.contains(label, t))
+        return (F.size(tokens) > 0) & (label != "") & fits
+
+    return let(F.struct(F.lower(urls.first_label(dom)).alias("label"), company_tokens(name).alias("tokens")), lambda x: compared(x["label"], x["tokens"]))
 
 
 def same_company(candidate: Column, target: Column) -> Column:

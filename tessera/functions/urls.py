@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed
-from tessera.functions.text import squish, strip, title
+from tessera.functions.text import let, squish, strip, title
 
 
 def normalize_url(c: Column) -> Column:
@@ -29,11 +31,14 @@ def path(c: Column) -> Column:
 def registrable(host: Column) -> Column:
     """The last two labels; three where the second last is a public one below a country code."""
     low = F.regexp_replace(F.regexp_replace(F.lower(host), r"^\.+|\.+$", ""), r"^www\.", "")
-    labels = F.split(low, r"\.")
-    n = F.size(labels)
-    public = (n >= 3) & F.try_element_at(labels, F.lit(-2)).isin(fixed.SECOND_LEVEL) & (F.length(F.element_at(labels, -1)) == 2)
-    take = F.when(public, 3).otherwise(F.least(n, F.lit(2)))
-    return F.array_join(F.slice(labels, n - take + 1, take), ".")
+
+    def last(labels: Column) -> Column:
+        n = F.size(labels)
+        public = (n >= 3) & F.try_element_at(labels, F.lit(-2)).isin(fixed.SECOND_LEVEL) & (F.length(F.element_at(labels, -1)) == 2)
+        take = F.when(public, 3).otherwise(F.least(n, F.lit(2)))
+        return F.array_join(F.slice(labels, n - take + 1, take), ".")
+
+    return let(F.split(low, r"\."), last)
 
 
 def domain(c: Column) -> Column:
@@ -57,7 +62,7 @@ def company_from_anchor(text: Column, dom: Column) -> Column:
 
 def below(dom: Column, domains: list[str]) -> Column:
     """One of the domains, or a subdomain of one."""
-    return F.exists(F.array(*(F.lit(d) for d in domains)), lambda d: (dom == d) | dom.endswith(F.concat(F.lit("."), d)))
+    return dom.rlike(rf"(^|\.)({'|'.join(map(re.escape, domains))})\z")  # one pattern: an expression inside a lambda is computed for each item
 
 
 def blocked_domain(dom: Column, source: Column | None = None) -> Column:
@@ -67,7 +72,7 @@ def blocked_domain(dom: Column, source: Column | None = None) -> Column:
 
 def blocked_host(host: Column) -> Column:
     """Holds one of the parts anywhere; part of the published behaviour, so ``therapi.`` is blocked as well."""
-    return F.exists(F.array(*(F.lit(p) for p in fixed.BLOCKED_HOST_PARTS)), lambda p: F.contains(F.lower(host), p))
+    return F.lower(host).rlike("|".join(map(re.escape, fixed.BLOCKED_HOST_PARTS)))
 
 
 def directory(dom: Column) -> Column:

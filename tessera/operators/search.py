@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from tessera.functions import contacts, fixed, icp, urls
-from tessera.functions.text import strip
+from tessera.functions.text import let, strip
 from tessera.operators.ranking import top
 
 ENGINES = ["ddgs", "brave", "serper", "ddg_html"]
@@ -31,8 +31,8 @@ def first_productive(df: DataFrame, group: str, step: str) -> DataFrame:
 
 def credible(url: Column) -> Column:
     """An address that may be a company's own site."""
-    dom, host = urls.domain(url), urls.authority(url)
-    return url.rlike("^https?://") & ~urls.blocked_domain(dom) & ~urls.blocked_host(host) & ~urls.directory(dom)
+    fair = let(urls.domain(url), lambda dom: ~urls.blocked_domain(dom) & ~urls.directory(dom))
+    return url.rlike("^https?://") & ~urls.blocked_host(urls.authority(url)) & fair
 
 
 def resolve_websites(results: DataFrame, require_match: bool = False, country: str | None = None) -> DataFrame:
@@ -42,7 +42,6 @@ def resolve_websites(results: DataFrame, require_match: bool = False, country: s
     others; without a fit the earliest credible domain of the first productive query stands in unless a match is required.
     """
     seen = results.filter(credible(F.col("url"))).withColumn("domain", urls.domain(F.col("url")))
-    seen = top(seen, ["company", "domain"], [F.col("query_place"), F.col("rank"), F.col("url")])
     fits = contacts.domain_fits_company(F.col("domain"), F.col("company"))
     local = F.col("domain").endswith(f".{country}") if country else F.lit(False)
     kind = F.when(fits & local, 0).when(fits, 1).otherwise(2)

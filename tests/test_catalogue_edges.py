@@ -1,8 +1,13 @@
 """Queries of the catalogue on rows that the smallest tables lack, held against their SQL."""
 
+import re
+
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from tessera.functions import fixed, urls
+from tessera.operators import search
 from tessera.plans import engine
 
 
@@ -33,3 +38,19 @@ def test_contact_pages_are_never_broadcast(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
     assert found.count() == 50
+
+
+def test_a_site_is_judged_once_a_row(spark):
+    results = spark.createDataFrame([("Firm 1", 0, 1, "https://www.firm1.co.uk/x")], "company string, query_place int, rank int, url string")
+    plan = search.resolve_websites(results, require_match=True, country="uk")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"(?m)^\W*Window ", plan)) == 1
+    assert plan.count("regexp_extract(") < 10  # each is the url cut anew; inside a lambda, for each blocked domain
+
+
+def test_domains_and_hosts_below_others(spark):
+    hosts = ["x.com", "a.x.com", "ax.com", "x.com.", "x.com\n", "", "g2.com", "a.b.google.com", "google.com.evil.io", "blog.a.io", "BLOG.a.io", "therapi.de", "bxdocs.y", None]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = df.select("host", urls.below(F.col("host"), fixed.BLOCKED_DOMAINS).alias("b"), urls.blocked_host(F.col("host")).alias("h")).collect()
+    for r in got:
+        assert r.b == (None if r.host is None else any(r.host == d or r.host.endswith("." + d) for d in fixed.BLOCKED_DOMAINS)), r
+        assert r.h == (None if r.host is None else any(p in r.host.lower() for p in fixed.BLOCKED_HOST_PARTS)), r
