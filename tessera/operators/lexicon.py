@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import fixed
 from tessera.functions.text import let, stem, strip
 from tessera.operators.lookups import runs_of_words, token_words
+from tessera.sources.scratch import held
 
 CLUSTER = "cluster_id string, term string"
 
@@ -70,25 +71,59 @@ def inner_phrases(low: Column, most: int) -> Column:
     return let(F.split(low, " "), all_runs)
 
 
+def held_terms(texts: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+    """(low, term): the terms (term) of two to ``most`` words that texts (low) hold anywhere.
+
+    Of a term's occurrence the first word ends a word of the text, the last one begins a word, and those between are whole.
+    So each distinct word of the texts is cut into its ends and beginnings once, and only those stay that some term has;
+    runs of words are made from what is left and meet the terms by equality.
+    """
+    several = terms.filter(F.size(F.split("term", " ")) > 1)
+    firsts = several.select(F.substring_index("term", " ", 1).alias("head")).distinct()
+    lasts = several.select(F.substring_index("term", " ", -1).alias("tail")).distinct()
+    split = texts.select("low", F.split("low", " ").alias("w"))
+    words = split.select(F.explode("w").alias("word")).filter("word <> ''").distinct()
+    cut = F.sequence(F.lit(1), F.length("word"))
+    heads = words.select("word", F.explode(F.transform(cut, lambda k: F.substr(F.col("word"), k))).alias("head")).hint("merge").join(firsts, "head", "left_semi")
+    tails = words.select("word", F.explode(F.transform(cut, lambda k: F.substr(F.col("word"), F.lit(1), k))).alias("tail")).hint("merge").join(lasts, "tail", "left_semi")
+    begun = split.select("low", "w", F.posexplode("w").alias("i", "word")).hint("merge").join(heads, "word").drop("word")
+    ends = F.filter(F.sequence(F.lit(2), F.lit(max(most, 2))), lambda n: F.col("i") + n <= F.size("w"))
+    runs = begun.select("low", "head", "w", "i", F.explode(ends).alias("n"))
+    middle = F.slice("w", F.col("i") + 2, F.col("n") - 2)
+    runs = runs.select("low", F.array_join(F.concat(F.array("head"), middle), " ").alias("start"), F.get("w", F.col("i") + F.col("n") - 1).alias("word"))
+    made = runs.hint("merge").join(tails, "word").select("low", F.concat_ws(" ", "start", "tail").alias("term")).distinct()
+    return made.hint("merge").join(several, "term").select("low", "term")
+
+
 def spoken_for(profiles: DataFrame, lexicon: DataFrame, most_words: int = 5) -> DataFrame:
     """(profile, token, term): what the lexicon (cluster_id, term) suggests for profiles (profile, phrase, tokens array).
 
     A single word of the lexicon meets the tokens by its stem; one of several words (up to ``most_words``) counts where the phrase holds
     it, and speaks for the tokens with a stem of its own. Without such a token, ``token`` is null: the term stands
     for the phrase as a whole. A term never suggests itself through its own cluster.
+
+    What a word or a phrase is suggested is found once for all profiles that have it. No join is broadcast: each side has several rows for
+    a row of its table, which Spark's estimate of its size leaves out.
     """
     words = F.split("term", " ")
-    keys = lexicon.select("term").distinct().withColumn("n", F.size(words))
-    tokens = profiles.select("profile", F.explode("tokens").alias("token")).withColumn("stem", stem(F.col("token"))).distinct()
-    single = keys.filter("n = 1").select("term", stem(F.col("term")).alias("stem")).join(tokens, "stem").select("profile", "token", "term")
-    texts = profiles.select("profile", F.explode(inner_phrases(F.lower(F.coalesce("phrase", F.lit(""))), most_words)).alias("term")).distinct()
-    held = texts.join(keys.filter("n > 1"), "term").select("profile", "term")
-    stems = held.select("profile", "term", F.explode(words).alias("w")).select("profile", "term", stem(F.col("w")).alias("stem")).distinct()
-    several = stems.join(tokens, ["profile", "stem"], "left").groupBy("profile", "term").agg(F.array_distinct(F.collect_list("token")).alias("t"))
-    several = several.select("profile", F.explode_outer("t").alias("token"), "term")
-    asked = single.unionByName(several).distinct()
-    within = asked.join(lexicon, "term").select("profile", "token", F.col("term").alias("key"), "cluster_id")
-    return within.join(lexicon, "cluster_id").filter("term <> key").select("profile", "token", "term").distinct()
+    lexicon = held(lexicon, "lexicon")  # read six times
+    own = lexicon.select("cluster_id", F.col("term").alias("key"))
+    pairs = own.hint("merge").join(lexicon.select("cluster_id", "term"), "cluster_id").filter("term <> key").select("key", "term").distinct()
+    keys = lexicon.select("term").distinct()
+    tokens = profiles.select("profile", F.explode("tokens").alias("token")).distinct()
+    known = tokens.select("token").distinct().withColumn("stem", stem(F.col("token")))
+    stemmed = keys.filter(F.size(words) == 1).select(F.col("term").alias("key"), stem(F.col("term")).alias("stem"))
+    single = known.hint("merge").join(stemmed, "stem").hint("merge").join(pairs, "key").select("token", "term").distinct()
+    by_word = tokens.hint("merge").join(single, "token").select("profile", "token", "term")
+    lows = profiles.select("profile", F.lower(F.coalesce("phrase", F.lit(""))).alias("low"))
+    inside = held_terms(lows.select("low").distinct(), keys, most_words)
+    asked = lows.distinct().hint("merge").join(inside, "low").select("profile", F.col("term").alias("key"))
+    stems = asked.distinct().select("profile", "key", F.explode(F.split("key", " ")).alias("w")).select("profile", "key", stem(F.col("w")).alias("stem")).distinct()
+    own_stems = tokens.withColumn("stem", stem(F.col("token")))
+    several = stems.hint("merge").join(own_stems, ["profile", "stem"], "left").groupBy("profile", "key").agg(F.array_distinct(F.collect_list("token")).alias("t"))
+    several = several.select("profile", "key", F.explode_outer("t").alias("token"))
+    by_phrase = several.hint("merge").join(pairs, "key").select("profile", "token", "term")
+    return by_word.unionByName(by_phrase).distinct()
 
 
 # Capitals (public facts) of regions whose cities ``lookups.CITIES`` does not name.

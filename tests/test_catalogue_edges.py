@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tessera.functions import fixed, urls
-from tessera.operators import search
+from tessera.operators import lexicon, search
 from tessera.plans import engine
 
 
@@ -54,3 +54,17 @@ def test_domains_and_hosts_below_others(spark):
     for r in got:
         assert r.b == (None if r.host is None else any(r.host == d or r.host.endswith("." + d) for d in fixed.BLOCKED_DOMAINS)), r
         assert r.h == (None if r.host is None else any(p in r.host.lower() for p in fixed.BLOCKED_HOST_PARTS)), r
+
+
+def test_lexicon_finds_what_phrases_hold_without_a_broadcast(spark, tmp_path):
+    phrases = ["red wood  floor", "", "wood", " cared woods ", "a b c d e f", "old redwood flooring", "b a b a", None]
+    terms = ["ed wo", "wood  floor", "red wood", "b c", "b c d e f", "a b c d e f", "wood f", "d woods", "a b", "redwood", "od flo", "x y"]
+    lexicon_ = spark.createDataFrame([(str(i), t) for i, t in enumerate(terms)] + [(str(i), f"other{i}") for i in range(len(terms))], "cluster_id string, term string")
+    profiles = spark.createDataFrame([(i, p, ["red"] if p and "red" in p.split() else []) for i, p in enumerate(phrases)], "profile int, phrase string, tokens array<string>")
+    stored = [(df.write.parquet(f"{tmp_path}/{n}"), spark.read.parquet(f"{tmp_path}/{n}"))[1] for n, df in (("p", profiles), ("l", lexicon_))]  # Spark knows their size
+    found = lexicon.spoken_for(*stored, 5)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(i, f"other{k}") for i, p in enumerate(phrases) for k, t in enumerate(terms) if p and " " in t and t in p and len(t.split(" ")) <= 5}
+    rows = found.collect()
+    assert {(r.profile, r.term) for r in rows} == want and len(rows) == len(want)
+    assert {r.term for r in rows if r.token == "red"} == {"other2"}
